@@ -62,56 +62,62 @@ def block_states(blocks: Column) -> Column:
     return F.transform(blocks, state)
 
 
-def _first_product(document) -> dict | None:
-    """First product object of a parsed document in document order."""
-    waiting = [document]
-    while waiting:
-        node = waiting.pop()
-        if isinstance(node, dict):
-            if node.get("@type") in frozenset(PRODUCT_TYPES):
-                return node
-            waiting.extend(reversed(node.values()))
-        elif isinstance(node, list):
-            waiting.extend(reversed(node))
-    return None
-
-
-def _walk(blocks) -> tuple[str | None, str | None]:
-    for block in blocks:
+def _block_walker():
+    """The Arrow helper; its functions are local so that workers need no import of ours."""
+    types, type_error = frozenset(PRODUCT_TYPES), TYPE_ERROR
+
+    def first_product(document):
+        """First product object of a parsed document in document order."""
+        waiting = [document]
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, dict):
+                if node.get("@type") in types:
+                    return node
+                waiting.extend(reversed(node.values()))
+            elif isinstance(node, list):
+                waiting.extend(reversed(node))
+        return None
+
+    def as_text(node):
+        text = json.dumps(node, ensure_ascii=False)
         try:
-            document = json.loads(block, parse_constant=str)
-        except json.JSONDecodeError:
-            continue
-        except RecursionError:
-            return None, "json-ld: nested too deeply"
-        try:
-            node = _first_product(document)
-        except TypeError:
-            return None, TYPE_ERROR
-        if node:
-            text = json.dumps(node, ensure_ascii=False)
-            # a lone surrogate cannot be encoded; keep it as an escape
-            return text if _encodable(text) else json.dumps(node), None
-    return None, None
-
-
-def _encodable(text: str) -> bool:
-    try:
-        text.encode("utf-8")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-@F.pandas_udf(
-    T.StructType(
-        [T.StructField("node", T.StringType()), T.StructField("error", T.StringType())]
-    )
+            text.encode("utf-8")
+        except UnicodeEncodeError:  # a lone surrogate stays an escape
+            return json.dumps(node)
+        return text
+
+    def walk(blocks):
+        for block in blocks:
+            try:
+                document = json.loads(block, parse_constant=str)
+            except json.JSONDecodeError:
+                continue
+            except RecursionError:
+                return None, "json-ld: nested too deeply"
+            try:
+                node = first_product(document)
+            except TypeError:
+                return None, type_error
+            if node:
+                return as_text(node), None
+        return None, None
+
+    def walk_blocks(blocks: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if b is None else walk(b) for b in blocks]
+        return pd.DataFrame(found, columns=["node", "error"], dtype="object")
+
+    return walk_blocks
+
+
+_NODE = T.StructType(
+    [T.StructField("node", T.StringType()), T.StructField("error", T.StringType())]
 )
-def walk_blocks(blocks: pd.Series) -> pd.DataFrame:
-    """Product node of pages whose blocks need a walk; null rows pass through."""
-    found = [(None, None) if b is None else _walk(b) for b in blocks]
-    return pd.DataFrame(found, columns=["node", "error"], dtype="object")
+
+
+def walk_blocks(blocks: Column) -> Column:
+    """(node, error) of pages whose blocks need a walk; null rows pass through."""
+    return F.pandas_udf(_block_walker(), _NODE)(blocks)
 
 
 class Node:

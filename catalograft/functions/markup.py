@@ -7,12 +7,11 @@ columns next to the page they come from, so extraction needs no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalograft.functions.stages import exploded, pinned
+from catalograft.functions.stages import built_once, exploded, pinned
 from catalograft.functions.text import strip_ws, unescape
 from catalograft.functions.urls import has_prefix, strip_fragment
 
@@ -33,7 +32,6 @@ _TOKEN = (
 _ATTRIBUTE = (
     r"""(?is)([^\s/>="'][^\s/>=]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+"""
 )
-_SELF_CLOSED = r"/>$"
 _BARE_VALUE_END = r"""=\s*+[^\s"'>][^\s>]*+>$"""
 
 
@@ -49,7 +47,7 @@ def explode_tokens(pages: DataFrame) -> DataFrame:
     data = F.col("data")
     tag = F.lower(F.regexp_extract(data, r"^<(/?\s*[a-zA-Z][^\s/>]*)", 1))
     kind = (
-        F.when(~data.startswith("<") | (data == "<"), "text")
+        F.when(_is_text(data), "text")
         .when(data.startswith("<!") | data.startswith("<?") | (tag == ""), "declaration")
         .otherwise(tag)
     )
@@ -101,64 +99,64 @@ def _first_filled(*options: Column) -> Column:
     return F.coalesce(*(F.nullif(o, F.lit("")) for o in options))
 
 
-def _mark(token: Column, attributes: Column) -> Column:
-    is_text = ~token.startswith("<") | (token == "<")
-    tag = F.translate(
-        F.lower(F.regexp_extract(token, r"^<(/?\s*[a-zA-Z][a-zA-Z0-9]*)", 1)), " \t\r\n\f", ""
+def _is_text(token: Column) -> Column:
+    return ~token.startswith("<") | (token == "<")
+
+
+def _fields(kind: Column, key: Column, value: Column, text: Column, closed: Column) -> Column:
+    return F.struct(
+        kind.alias("kind"),
+        key.cast("string").alias("key"),
+        value.cast("string").alias("value"),
+        text.cast("string").alias("text"),
+        closed.alias("closed"),
     )
-    kind = F.when(is_text, "text").otherwise(tag)
-    raw = kind.isin("script", "style")
+
+
+def _tag_mark(token: Column, kind: Column, attributes: Column) -> Column:
+    named = _first_filled(_last(attributes, "property"), _last(attributes, "name"))
+    # a script "type" without a value is an error on the page: null key
+    valueless = _last(attributes, "type", "valued").eqNullSafe(F.lit(False))
     key = (
         F.when(kind == "a", F.coalesce(_last(attributes, "href"), F.lit("")))
+        .when(kind == "meta", F.lower(strip_ws(F.coalesce(named, F.lit("")))))
         .when(
-            kind == "meta",
-            F.lower(
-                strip_ws(
-                    F.coalesce(
-                        _first_filled(_last(attributes, "property"), _last(attributes, "name")),
-                        F.lit(""),
-                    )
-                )
-            ),
-        )
-        .when(
-            kind == "script",
-            # a "type" without a value is an error on the page: null key
-            F.when(_last(attributes, "type", "valued").eqNullSafe(F.lit(False)), F.lit(None))
-            .otherwise(F.lower(F.coalesce(_last(attributes, "type"), F.lit("")))),
+            (kind == "script") & ~valueless,
+            F.lower(F.coalesce(_last(attributes, "type"), F.lit(""))),
         )
     )
-    value = F.when(
-        kind == "a", _first_filled(_last(attributes, "data-name"), _last(attributes, "title"))
-    ).when(kind == "meta", _last(attributes, "content"))
-    body = F.when(is_text, unescape(token)).when(
-        raw, F.regexp_extract(token, rf"(?is)^{_RAW}", 2)
-    )
-    closed = F.when(raw, F.regexp_extract(token, rf"(?is)^{_RAW}", 3) != "").otherwise(
-        token.rlike(_SELF_CLOSED) & ~token.rlike(_BARE_VALUE_END)
-    )
-    return F.struct(
-        kind.alias("kind"),
-        key.alias("key"),
-        value.alias("value"),
-        body.alias("text"),
-        closed.alias("closed"),
+    label = _first_filled(_last(attributes, "data-name"), _last(attributes, "title"))
+    value = F.when(kind == "a", label).when(kind == "meta", _last(attributes, "content"))
+    raw = kind.isin("script", "style")
+    body = F.when(raw, F.regexp_extract(token, rf"(?is)^{_RAW}", 2))
+    closed = (
+        F.when(raw, F.regexp_extract(token, rf"(?is)^{_RAW}", 3) != "")
+        .when(token.endswith("/>"), ~token.rlike(_BARE_VALUE_END))
+        .otherwise(False)
     )
+    return _fields(kind, key, value, body, closed)
 
 
-@lru_cache(maxsize=64)
-def _marks(tags: tuple[str, ...], text: bool, application: str) -> Column:
-    """The marks expression; building it takes many calls, so keep it per application."""
+def _mark(token: Column) -> Column:
+    tag = F.translate(
+        F.lower(F.regexp_extract(token, r"^<(/?\s*[a-zA-Z][a-zA-Z0-9]*)", 1)), " \t\r\n\f", ""
+    )
+    attributes = F.when(token.rlike(r"(?i)^<(?:a|meta|script)[\s/>]"), _attributes(token))
+    # the one-element array binds tag and attributes once per token
+    tagged = F.transform(
+        F.array(F.struct(tag.alias("tag"), attributes.alias("attributes"))),
+        lambda head: _tag_mark(token, head["tag"], head["attributes"]),
+    )[0]
+    none = F.lit(None)
+    run = _fields(F.lit("text"), none, none, unescape(token), F.lit(False))
+    return F.when(_is_text(token), run).otherwise(tagged)
+
+
+@built_once
+def _marks(tags: tuple[str, ...], text: bool) -> Column:
     wanted = _wanted(tags, text)
     kept = F.filter(tokens(F.col("html")), lambda t: t.rlike(wanted) & _finished(t))
-    # The one-element array binds the attributes once per token.
-    return F.transform(
-        kept,
-        lambda t: F.transform(
-            F.array(F.when(t.rlike(r"(?i)^<(?:a|meta|script)[\s/>]"), _attributes(t))),
-            lambda attributes: _mark(t, attributes),
-        )[0],
-    )
+    return F.transform(kept, _mark)
 
 
 def with_marks(pages: DataFrame, tags: Iterable[str], text: bool = True) -> DataFrame:
@@ -169,9 +167,8 @@ def with_marks(pages: DataFrame, tags: Iterable[str], text: bool = True) -> Data
     key is the type and the text the body. Script and style elements come with the
     text, because their bodies count as text inside an anchor or heading.
     """
-    application = pages.sparkSession.sparkContext.applicationId
     rest = [c for c in pages.columns if c != "html"]
-    return pinned(pages, rest, marks=_marks(tuple(tags), text, application))
+    return pinned(pages, rest, marks=_marks(tuple(tags), text))
 
 
 def segments_at(

@@ -8,10 +8,35 @@ is never rewritten that way, so these helpers compute a column exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def built_once(build: Callable) -> Callable:
+    """Reuse the expressions a function builds for equal arguments.
+
+    Every part of an expression is a call to the JVM, so the large page
+    expressions take longer to build than to plan. They do not depend on a
+    DataFrame, only on column names, and stay valid for one application.
+    """
+    built: dict = {}
+
+    @wraps(build)
+    def reuse(*args):
+        session = SparkSession.getActiveSession()
+        if session is None:
+            return build(*args)
+        key = (session.sparkContext.applicationId, args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return reuse
+
+
 def pinned(df: DataFrame, keep: list[str], **computed: Column) -> DataFrame:
     """Columns `keep` plus `computed`; filters on the latter stay above this step."""
     row = F.struct(*(c.alias(name) for name, c in computed.items()))

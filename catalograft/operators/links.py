@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalograft.functions.markup import (
@@ -19,7 +19,7 @@ from catalograft.functions.markup import (
     segments_at,
     with_marks,
 )
-from catalograft.functions.stages import exploded
+from catalograft.functions.stages import built_once, exploded, pinned
 from catalograft.functions.text import join_runs, strip_ws
 
 
@@ -27,28 +27,30 @@ def _kept(pages: DataFrame) -> list[str]:
     return [c for c in pages.columns if c != "html"]
 
 
-def collect_links(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
-    """Distinct link targets per page in first-seen order, as (…, pos, href)."""
+def links_in(marks: Column, prefixes: Iterable[str]) -> Column:
+    """Distinct link targets among the marks in first-seen order."""
     prefixes = tuple(prefixes)
-    marked = with_marks(pages, ("a",), text=False)
-    targets = F.array_distinct(
-        F.transform(F.filter("marks", lambda m: is_link(m, prefixes)), link_target)
+    return F.array_distinct(
+        F.transform(F.filter(marks, lambda m: is_link(m, prefixes)), link_target)
     )
-    return exploded(marked, _kept(pages), targets, "href")
 
 
-def named_link_arrays(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
-    """One row per page with `links`: ordered (href, pos, text), distinct by href.
+def link_arrays(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
+    """One row per page with `links`: its distinct link targets in order."""
+    marked = with_marks(pages, ("a",), text=False)
+    return pinned(marked, _kept(pages), links=links_in(F.col("marks"), prefixes))
 
-    Only a matching anchor opens; an anchor that is not closed before the next
-    matching one is lost; the first closed anchor of a target wins even when its
-    text is empty.
-    """
-    prefixes = tuple(prefixes)
-    marked = with_marks(pages, ("a",))
-    cut = segments_at(marked, lambda m: is_link(m, prefixes), "anchors")
+
+def collect_links(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
+    """Distinct link targets per page in first-seen order, as (…, pos, href)."""
+    marked = with_marks(pages, ("a",), text=False)
+    return exploded(marked, _kept(pages), links_in(F.col("marks"), prefixes), "href")
+
+
+@built_once
+def _closed_links(anchors: str) -> Column:
     found = F.transform(
-        F.col("anchors"),
+        F.col(anchors),
         lambda seg, i: F.transform(
             F.array(closing_position(seg, "a")),
             lambda closing: F.struct(
@@ -60,11 +62,27 @@ def named_link_arrays(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
             ),
         )[0],
     )
-    links = cut.select(
-        *_kept(pages),
-        F.filter(found, lambda link: link["text"].isNotNull()).alias("links"),
-    )
-    return first_per_key(links, "links", "href", "pos")
+    return F.filter(found, lambda link: link["text"].isNotNull())
+
+
+def named_links_in(marked: DataFrame, prefixes: Iterable[str], out: str) -> DataFrame:
+    """Add `out`: ordered (href, pos, text) of the page's marks, distinct by href.
+
+    Only a matching anchor opens; an anchor that is not closed before the next
+    matching one is lost; the first closed anchor of a target wins even when its
+    text is empty.
+    """
+    prefixes = tuple(prefixes)
+    cut = segments_at(marked, lambda m: is_link(m, prefixes), "_anchors")
+    links = cut.withColumn(out, _closed_links("_anchors")).drop("_anchors")
+    return first_per_key(links, out, "href", "pos")
+
+
+def named_link_arrays(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
+    """One row per page with `links`, see `named_links_in`."""
+    marked = with_marks(pages, ("a",))
+    linked = named_links_in(marked, prefixes, "links")
+    return pinned(linked, _kept(pages), links=F.col("links"))
 
 
 def collect_named_links(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
@@ -81,7 +99,7 @@ def h1_title(pages: DataFrame) -> DataFrame:
     return cut.select(*_kept(pages), last_heading(F.col("headings")).alias("title"))
 
 
-def last_heading(headings):
+def last_heading(headings: Column) -> Column:
     """Last non-empty text among heading segments."""
     texts = F.transform(
         headings, lambda seg: join_runs(runs_before(seg, closing_position(seg, "h1")))
@@ -89,7 +107,7 @@ def last_heading(headings):
     return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(-1))
 
 
-def meta_items(marks):
+def meta_items(marks: Column) -> Column:
     """(key, pos, content) of every usable meta, content trimmed."""
     usable = F.filter(
         marks,
@@ -113,7 +131,7 @@ def meta_map(pages: DataFrame) -> DataFrame:
     return last.select(*_kept(pages), F.map_from_entries(entries).alias("meta"))
 
 
-def jsonld_bodies(marks):
+def jsonld_bodies(marks: Column) -> Column:
     """Trimmed, non-empty bodies of closed JSON-LD scripts in page order."""
     scripts = F.filter(
         marks,

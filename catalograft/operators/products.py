@@ -19,7 +19,7 @@ from catalograft.functions.markup import (
     segments_at,
     with_marks,
 )
-from catalograft.functions.stages import exploded, pinned
+from catalograft.functions.stages import built_once, exploded, pinned
 from catalograft.functions.text import blank_to_null, join_runs, strip_ws
 from catalograft.functions.urls import has_prefix, humanize_slug, mention_key, root_join
 from catalograft.operators.links import jsonld_bodies, last_heading, meta_items
@@ -107,26 +107,28 @@ def page_parts(
     marked = with_marks(pages.where(F.col("html").isNotNull()), ("a", "h1", "meta"))
     cut = segments_at(marked, lambda m: m["kind"] == "a", "anchors")
     cut = segments_at(cut, lambda m: m["kind"] == "h1", "headings")
-    marks = F.col("marks")
-    return pinned(
-        cut,
-        kept,
-        title=last_heading(F.col("headings")),
-        metas=meta_items(marks),
-        blocks=jsonld_bodies(marks),
-        bad_script=F.exists(marks, lambda m: (m["kind"] == "script") & m["key"].isNull()),
-        events=_anchor_events(F.col("anchors"), base),
-        brands=_brand_anchors(F.col("anchors"), base, prefixes),
-    )
+    return pinned(cut, kept, **_part_columns(base, prefixes))
+
+
+@built_once
+def _part_columns(base: str, prefixes: tuple[str, ...]) -> dict[str, Column]:
+    marks, anchors = F.col("marks"), F.col("anchors")
+    return {
+        "title": last_heading(F.col("headings")),
+        "metas": meta_items(marks),
+        "blocks": jsonld_bodies(marks),
+        "bad_script": F.exists(marks, lambda m: (m["kind"] == "script") & m["key"].isNull()),
+        "events": _anchor_events(anchors, base),
+        "brands": _brand_anchors(anchors, base, prefixes),
+    }
 
 
 def with_product_node(parts: DataFrame) -> DataFrame:
     """Replace `blocks` by `json_ld`, the page's product node as JSON text, and
     `node_error`."""
     kept = [c for c in parts.columns if c != "blocks"]
-    verdict = F.get(
-        F.filter(jsonld.block_states(F.col("blocks")), lambda s: s["verdict"] != "none"), 0
-    )
+    states = jsonld.block_states(F.col("blocks"))
+    verdict = F.get(F.filter(states, lambda s: s["verdict"] != "none"), 0)
     judged = pinned(parts, [*kept, "blocks"], first=verdict)
     open_blocks = F.when(F.col("first.verdict") == "open", F.col("blocks"))
     walked = judged.withColumn("walked", jsonld.walk_blocks(open_blocks))
@@ -227,69 +229,86 @@ def extract_products(
     kept = [c for c in pages.columns if c != "html"]
     noded = with_product_node(page_parts(pages, base, strict_brand_prefix))
     read = noded.withColumn("node", F.try_parse_json("json_ld"))
-    node = jsonld.Node(F.col("node"))
-    fields = pinned(
-        read,
-        [*kept, "title", "metas", "events", "brands", "bad_script", "json_ld", "node_error"],
-        ld_name=node.filled("$.name"),
-        ld_brand=jsonld.brand(node),
-        ld_description=node.filled("$.description"),
-        ld_image=jsonld.first_image(node),
-        rating_value=jsonld.rating_value(node),
-        rating_count=jsonld.rating_count(node),
-        count_infinite=jsonld.rating_count_infinite(node),
-        categories=jsonld.categories(node),
-        mentions=jsonld.json_mentions(jsonld.ingredient_payload(node), base),
-    )
-    combined = fields.withColumn(
-        "events", F.concat(F.col("events"), _json_events(F.col("mentions"))).cast(f"array<{_EVENT}>")
-    ).withColumn("name_failed", F.exists("mentions", lambda m: m["failed"]))
+    parts = ["title", "metas", "events", "brands", "bad_script", "json_ld", "node_error"]
+    fields = pinned(read, [*kept, *parts], **_node_columns(base))
+    combined = fields.withColumns(_event_columns())
     rostered = merge_by_name(fold_mentions(combined))
+    return pinned(rostered, kept, **_product_columns())
+
 
+@built_once
+def _node_columns(base: str) -> dict[str, Column]:
+    node = jsonld.Node(F.col("node"))
+    return {
+        "ld_name": node.filled("$.name"),
+        "ld_brand": jsonld.brand(node),
+        "ld_description": node.filled("$.description"),
+        "ld_image": jsonld.first_image(node),
+        "rating_value": jsonld.rating_value(node),
+        "rating_count": jsonld.rating_count(node),
+        "count_infinite": jsonld.rating_count_infinite(node),
+        "categories": jsonld.categories(node),
+        "mentions": jsonld.json_mentions(jsonld.ingredient_payload(node), base),
+    }
+
+
+@built_once
+def _event_columns() -> dict[str, Column]:
+    """JSON mentions come after all anchor events of the page."""
+    both = F.concat(F.col("events"), _json_events(F.col("mentions")))
+    return {
+        "events": both.cast(f"array<{_EVENT}>"),
+        "name_failed": F.exists("mentions", lambda m: m["failed"]),
+    }
+
+
+@built_once
+def _product_columns() -> dict[str, Column]:
     metas, brands = F.col("metas"), F.col("brands")
     links = F.array_sort(F.array_distinct(F.transform(brands, lambda b: b["url"])))
-    meta = lambda key: _last_meta(metas, key)
     named_brand = F.get(F.filter(brands, lambda b: b["text"].isNotNull()), 0)["text"]
-    return pinned(
-        rostered,
-        kept,
-        name=F.coalesce(
+
+    def meta(key: str) -> Column:
+        return _last_meta(metas, key)
+
+    return {
+        "name": F.coalesce(
             F.col("ld_name"),
             F.col("title"),
             blank_to_null(meta("og:title")),
             meta("twitter:title"),
         ),
-        brand=F.coalesce(
+        "brand": F.coalesce(
             blank_to_null(F.col("ld_brand")),
             meta("brand:text"),
             named_brand,
             humanize_slug(F.get(links, 0), "brand"),
             F.col("ld_brand"),
         ),
-        description=F.coalesce(
+        "description": F.coalesce(
             F.col("ld_description"), blank_to_null(meta("og:description")), meta("description")
         ),
-        image_url=F.coalesce(
+        "image_url": F.coalesce(
             F.col("ld_image"), blank_to_null(meta("og:image")), meta("twitter:image")
         ),
-        rating_value=F.col("rating_value"),
-        rating_count=F.col("rating_count"),
-        categories=F.col("categories"),
-        ingredients=F.col("ingredients"),
-        json_ld=F.col("json_ld"),
-        raw_brand_links=links,
-        extract_error=F.coalesce(
+        "rating_value": F.col("rating_value"),
+        "rating_count": F.col("rating_count"),
+        "categories": F.col("categories"),
+        "ingredients": F.col("ingredients"),
+        "json_ld": F.col("json_ld"),
+        "raw_brand_links": links,
+        "extract_error": F.coalesce(
             F.when(F.col("bad_script"), F.lit("script type without a value")),
             F.col("node_error"),
             F.when(F.col("count_infinite"), F.lit(jsonld.COUNT_ERROR)),
             F.when(F.col("name_failed"), F.lit(jsonld.NAME_ERROR)),
         ),
-    )
+    }
 
 
 def ingredient_mentions(pages: DataFrame, base: str) -> DataFrame:
     """Mention events of ingredient anchors, as (…, pos, key, kind, name, url)."""
-    kept = [c for c in pages.columns if c != "html"]
+    kept = [c for c in pages.columns if c not in ("url", "html")]
     events = exploded(page_parts(pages, base), kept, F.col("events"), "event")
     return events.select(
         *kept,
@@ -303,6 +322,6 @@ def ingredient_mentions(pages: DataFrame, base: str) -> DataFrame:
 
 def brand_mentions(pages: DataFrame, base: str) -> DataFrame:
     """Brand anchors, as (…, pos, url, text); the text is null when unusable."""
-    kept = [c for c in pages.columns if c != "html"]
+    kept = [c for c in pages.columns if c not in ("url", "html")]
     anchors = exploded(page_parts(pages, base), kept, F.col("brands"), "anchor")
     return anchors.select(*kept, "pos", "anchor.url", "anchor.text")
