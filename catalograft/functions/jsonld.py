@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalograft.functions.stages import bind
 from catalograft.functions.text import split_list, strip_ws
 from catalograft.functions.urls import root_join
 
@@ -36,18 +37,13 @@ NAME_ERROR = "json-ld: ingredient name is not text"
 COUNT_ERROR = "json-ld: ratingCount is infinite"
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate `value` once inside a larger expression."""
-    return F.transform(F.array(value), use)[0]
-
-
 def block_states(blocks: Column) -> Column:
     """(verdict, node) per block: "none", "root" or "open" when a walk is needed."""
 
     def state(block: Column) -> Column:
         impossible = ~block.contains("Product") & ~block.contains("\\u")
         wrapped = F.try_parse_json(F.concat(F.lit("["), block, F.lit("]")))
-        rooted = _bind(
+        rooted = bind(
             wrapped,
             lambda v: F.try_variant_get(v, '$[0]["@type"]', "string").isin(*PRODUCT_TYPES)
             & F.try_variant_get(v, "$[1]", "variant").isNull(),
@@ -120,22 +116,49 @@ def walk_blocks(blocks: Column) -> Column:
     return F.pandas_udf(_block_walker(), _NODE)(blocks)
 
 
+# The members of a product node that are read.
+MEMBERS = {
+    "name": "$.name",
+    "brand": "$.brand",
+    "brand_name": "$.brand.name",
+    "brand_brand": "$.brand.brand",
+    "description": "$.description",
+    "image": "$.image",
+    "image_0": "$.image[0]",
+    "rating": "$.aggregateRating",
+    "rating_value": "$.aggregateRating.ratingValue",
+    "rating_count": "$.aggregateRating.ratingCount",
+    "category": "$.category",
+    **{key: f"$.{key}" for key in INGREDIENT_KEYS},
+}
+
+
+def raw_members(v: Column) -> Column:
+    """JSON text of every member; its first character tells the type."""
+    return F.struct(
+        *(_raw(v, path).alias(name) for name, path in MEMBERS.items())
+    )
+
+
+def _raw(v: Column, path: str) -> Column:
+    return F.to_json(F.try_variant_get(v, path, "variant"))
+
+
 class Node:
-    """Reads members of the product node, a variant column."""
+    """Reads members of the product node: a variant column and its raw members."""
 
-    def __init__(self, v: Column):
-        self.v = v
+    def __init__(self, v: Column, raws: Column):
+        self.v, self.raws = v, raws
 
-    def raw(self, path: str) -> Column:
-        """JSON text of a member; its first character tells the type."""
-        return F.to_json(F.try_variant_get(self.v, path, "variant"))
+    def raw(self, member: str) -> Column:
+        return self.raws[member]
 
-    def text(self, path: str) -> Column:
-        return F.try_variant_get(self.v, path, "string")
+    def get(self, member: str, kind: str) -> Column:
+        return F.try_variant_get(self.v, MEMBERS[member], kind)
 
-    def filled(self, path: str) -> Column:
+    def filled(self, member: str) -> Column:
         """Text of a member unless it is missing, null, false, zero or empty."""
-        return F.when(is_filled(self.raw(path)), self.text(path))
+        return F.when(is_filled(self.raw(member)), self.get(member, "string"))
 
 
 def is_filled(raw: Column) -> Column:
@@ -156,72 +179,67 @@ def is_array(raw: Column) -> Column:
 
 def brand(node: Node) -> Column:
     """Object: its name, else its brand; text: itself; anything else: nothing."""
-    raw = node.raw("$.brand")
+    raw = node.raw("brand")
     return F.when(
-        is_object(raw), F.coalesce(node.filled("$.brand.name"), node.filled("$.brand.brand"))
-    ).when(is_string(raw), node.text("$.brand"))
+        is_object(raw), F.coalesce(node.filled("brand_name"), node.filled("brand_brand"))
+    ).when(is_string(raw), node.get("brand", "string"))
 
 
 def first_image(node: Node) -> Column:
     """First of a list, or the value itself."""
-    return F.when(is_array(node.raw("$.image")), node.filled("$.image[0]")).otherwise(
-        node.filled("$.image")
+    return F.when(is_array(node.raw("image")), node.filled("image_0")).otherwise(
+        node.filled("image")
     )
 
 
-def rating_value(node: Node) -> Column:
-    path = "$.aggregateRating.ratingValue"
-    raw, text = node.raw(path), strip_ws(node.text(path))
+def _number(node: Node, member: str, pattern: str, kind: str) -> Column:
+    """A rating member: text must match the pattern, a number is cast."""
+    raw = node.raw(member)
+    text = strip_ws(node.get(member, "string"))
     parsed = F.when(
-        text.rlike(_FLOAT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+        text.rlike(pattern), F.replace(text, F.lit("_"), F.lit("")).try_cast(kind)
     )
-    return F.when(is_object(node.raw("$.aggregateRating")),
-        F.when(is_string(raw), parsed)
-        .when(~is_object(raw) & ~is_array(raw), F.try_variant_get(node.v, path, "double"))
+    return F.when(
+        is_object(node.raw("rating")) & raw.isNotNull(),
+        F.when(is_string(raw), parsed).when(
+            ~is_object(raw) & ~is_array(raw), node.get(member, kind)
+        ),
     )
 
 
+def rating_value(node: Node) -> Column:
+    return _number(node, "rating_value", _FLOAT_TEXT, "double")
+
+
 def rating_count(node: Node) -> Column:
     """Text must be a whole number; a number is cut to its whole part."""
-    path = "$.aggregateRating.ratingCount"
-    raw, text = node.raw(path), strip_ws(node.text(path))
-    parsed = F.when(
-        text.rlike(_INT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint")
-    )
-    return F.when(is_object(node.raw("$.aggregateRating")),
-        F.when(is_string(raw), parsed)
-        .when(~is_object(raw) & ~is_array(raw), F.try_variant_get(node.v, path, "bigint"))
-    )
+    return _number(node, "rating_count", _INT_TEXT, "bigint")
 
 
 def rating_count_infinite(node: Node) -> Column:
-    path = "$.aggregateRating.ratingCount"
-    count = F.try_variant_get(node.v, path, "variant")
-    number = F.try_variant_get(node.v, path, "double")
     # as JSON text an infinite number looks like a string, so ask for the type
-    return F.coalesce(
-        (F.schema_of_variant(count) == "DOUBLE") & (F.abs(number) == float("inf")),
-        F.lit(False),
+    number = (F.schema_of_variant(node.get("rating_count", "variant")) == "DOUBLE") & (
+        F.abs(node.get("rating_count", "double")) == float("inf")
     )
+    return F.coalesce(node.raw("rating_count").contains("Infinity") & number, F.lit(False))
 
 
 def categories(node: Node) -> Column:
     """List: every item as text; text: one item; anything else: empty."""
-    raw = node.raw("$.category")
+    raw = node.raw("category")
 
     def as_text(item: Column) -> Column:
-        shown = F.to_json(item)
-        return (
-            F.when(shown == "null", "None")
+        return bind(
+            F.to_json(item),
+            lambda shown: F.when(shown == "null", "None")
             .when(shown == "true", "True")
             .when(shown == "false", "False")
-            .otherwise(F.try_variant_get(item, "$", "string"))
+            .otherwise(F.try_variant_get(item, "$", "string")),
         )
 
-    items = F.transform(F.try_variant_get(node.v, "$.category", "array<variant>"), as_text)
     return (
-        F.when(is_array(raw), items)
-        .when(is_string(raw), F.array(node.text("$.category")))
+        F.when(is_array(raw), F.transform(node.get("category", "array<variant>"), as_text))
+        .when(is_string(raw), F.array(node.get("category", "string")))
         .otherwise(F.array().cast("array<string>"))
     )
 
@@ -229,12 +247,7 @@ def categories(node: Node) -> Column:
 def ingredient_payload(node: Node) -> Column:
     """The first filled member among the ingredient keys, as a variant."""
     return F.coalesce(
-        *(
-            F.when(
-                is_filled(node.raw(f"$.{key}")), F.try_variant_get(node.v, f"$.{key}", "variant")
-            )
-            for key in INGREDIENT_KEYS
-        )
+        *(F.when(is_filled(node.raw(key)), node.get(key, "variant")) for key in INGREDIENT_KEYS)
     )
 
 
@@ -248,30 +261,37 @@ def json_mentions(payload: Column, base: str) -> Column:
     def mention(name: Column, url: Column, failed: Column) -> Column:
         return F.struct(name.alias("name"), url.alias("url"), failed.alias("failed"))
 
-    def from_object(item: Node) -> Column:
-        name = F.coalesce(*(item.filled(p) for p in ('$.name', '$["@id"]', "$.identifier")))
-        name_raw = F.coalesce(
-            *(
-                F.when(is_filled(item.raw(p)), item.raw(p))
-                for p in ("$.name", '$["@id"]', "$.identifier")
+    def from_object(item: Column) -> Column:
+        def text(path: str) -> Column:
+            return F.try_variant_get(item, path, "string")
+
+        def named(raws: Column) -> Column:
+            own, other = raws["own"], raws["url"]
+            paths = {"name": "$.name", "own": '$["@id"]', "identifier": "$.identifier"}
+            name = F.coalesce(*(F.when(is_filled(raws[m]), text(p)) for m, p in paths.items()))
+            name_raw = F.coalesce(*(F.when(is_filled(raws[m]), raws[m]) for m in paths))
+            url = (
+                F.when(is_filled(own) & is_string(own), root_join(text('$["@id"]'), base))
+                .when(~is_filled(own) & is_string(other), root_join(text("$.url"), base))
+                .otherwise("")
             )
+            return F.when(name.isNotNull(), mention(name, url, ~is_string(name_raw)))
+
+        raws = F.struct(
+            _raw(item, "$.name").alias("name"),
+            _raw(item, '$["@id"]').alias("own"),
+            _raw(item, "$.identifier").alias("identifier"),
+            _raw(item, "$.url").alias("url"),
         )
-        own, other = item.raw('$["@id"]'), item.raw("$.url")
-        url = (
-            F.when(is_filled(own) & is_string(own), root_join(item.text('$["@id"]'), base))
-            .when(~is_filled(own) & is_string(other), root_join(item.text("$.url"), base))
-            .otherwise("")
-        )
-        return F.when(name.isNotNull(), mention(name, url, ~is_string(name_raw)))
+        return bind(raws, named)
 
     def from_item(item: Column) -> Column:
-        node = Node(item)
-        raw = F.to_json(item)
-        return F.when(is_object(raw), from_object(node)).when(
-            is_string(raw), mention(node.text("$"), F.lit(""), F.lit(False))
+        plain = mention(F.try_variant_get(item, "$", "string"), F.lit(""), F.lit(False))
+        return bind(
+            F.to_json(item),
+            lambda raw: F.when(is_string(raw), plain).when(is_object(raw), from_object(item)),
         )
 
-    raw = F.to_json(payload)
     listed = F.filter(
         F.transform(F.try_variant_get(payload, "$", "array<variant>"), from_item),
         lambda m: m.isNotNull(),
@@ -280,7 +300,10 @@ def json_mentions(payload: Column, base: str) -> Column:
         split_list(F.try_variant_get(payload, "$", "string")),
         lambda name: mention(name, F.lit(""), F.lit(False)),
     )
+    chosen = bind(
+        F.to_json(payload),
+        lambda raw: F.when(is_array(raw), listed).when(is_string(raw), separated),
+    )
     return F.coalesce(
-        F.when(is_array(raw), listed).when(is_string(raw), separated),
-        F.array().cast("array<struct<name:string,url:string,failed:boolean>>"),
+        chosen, F.array().cast("array<struct<name:string,url:string,failed:boolean>>")
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalograft.functions.stages import built_once, exploded, pinned
+from catalograft.functions.stages import bind, built_once, exploded, pinned
 from catalograft.functions.text import strip_ws, unescape
 from catalograft.functions.urls import has_prefix, strip_fragment
 
@@ -21,18 +21,40 @@ _INSIDE = (
     r"""(?:[^>"'=]++|=++\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+|["'])*+"""
 )
 _RAW = rf"<(script|style)(?=[\s/>]){_INSIDE}(?<!/)>(.*?)(</\s*\1\s*>|\z)"
-_TOKEN = (
-    r"(?is)<!--.*?(?:--!?\s*>|\z)"
-    r"|<!\[(?:cdata|rcdata|temp|ignore|include)\b.*?(?:\]\s*\]\s*>|\z)"
-    rf"|{_RAW}"
-    rf"|<[a-z][^\s/>]*+{_INSIDE}(?:>|\z)"
-    r"|<[!?/][^>]*+(?:>|\z)"
-    r"|[^<]++|<"
-)
-_ATTRIBUTE = (
-    r"""(?is)([^\s/>="'][^\s/>=]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+"""
+_COMMENT = r"<!--.*?(?:--!?\s*>|\z)"
+_SECTION = r"<!\[(?:cdata|rcdata|temp|ignore|include)\b.*?(?:\]\s*\]\s*>|\z)"
+_OPAQUE = "|".join(
+    rf"<{tag}(?=[\s/>]){_INSIDE}(?<!/)>.*?(?:</\s*{tag}\s*>|\z)" for tag in ("script", "style")
 )
+_TAG = rf"<[a-z][^\s/>]*+{_INSIDE}(?:>|\z)"
+_DECLARATION = r"<[!?/][^>]*+(?:>|\z)"
+_REST = rf"{_COMMENT}|{_SECTION}|{_OPAQUE}|{_TAG}|{_DECLARATION}|<"
+_TOKEN = rf"(?is)[^<]++|{_REST}"
+# an anchor with all that follows up to the next anchor tag, which closes it if it
+# is an end tag
+_ANCHOR = rf"<a(?=[\s/>]){_INSIDE}>(?:[^<]++|(?!</?\s*a[\s/>])(?:{_REST}))*+(?:</\s*a(?=[\s/>])[^>]*+>)?+"
+_ANCHOR_TOKEN = rf"(?is)[^<]++|{_ANCHOR}|{_REST}"
+_RAW_TAGS = r"(?is)^<(?:script|style)[^>]*+>|</\s*(?:script|style)\s*>$"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_ANY_ATTRIBUTE = rf"""[^\s/>="'][^\s/>=]*+(?:\s*+=++\s*+{_VALUE}?+)?+"""
+_BETWEEN = r"""[\s/"'=]*+"""
 _BARE_VALUE_END = r"""=\s*+[^\s"'>][^\s>]*+>$"""
+_TYPE_WITHOUT_VALUE = (
+    rf"(?is)^<script(?:{_BETWEEN}(?!type[\s/>]){_ANY_ATTRIBUTE})*+{_BETWEEN}type(?=[\s/>])(?!\s*+=)"
+)
+
+
+def _attributes_pattern(*names: str) -> str:
+    """A start tag with one group per name; on repeats a group keeps the last value."""
+    named = "|".join(rf"{name}\s*+=++\s*+({_VALUE})" for name in names)
+    return rf"(?is)^<[a-z][^\s/>]*+(?:{_BETWEEN}(?:{named}|{_ANY_ATTRIBUTE}))*+"
+
+
+_ATTRIBUTES = {
+    "a": ("href", "data-name", "title"),
+    "meta": ("property", "name", "content"),
+    "script": ("type",),
+}
 
 
 def tokens(html: Column) -> Column:
@@ -40,6 +62,34 @@ def tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
 
 
+def anchor_segments(html: Column) -> Column:
+    """Every anchor with its content, up to its end tag or the next anchor."""
+    pieces = F.regexp_extract_all(html, F.lit(_ANCHOR_TOKEN), F.lit(0))
+    return F.filter(pieces, lambda s: s.startswith("<") & s.rlike(r"(?i)^<a[\s/>]") & s.contains(">"))
+
+
+def segment_closed(pieces: Column) -> Column:
+    """Within an anchor segment "</a>" can stand only at the end."""
+    last = F.element_at(pieces, -1)
+    return last.startswith("</") & last.rlike(r"(?i)^</\s*a[\s/>]")
+
+
+def self_closed(tag: Column) -> Column:
+    return tag.endswith("/>") & ~tag.rlike(_BARE_VALUE_END)
+
+
+def text_runs(pieces: Column) -> Column:
+    """Decoded text among tokens; the body of a script or style element is text too."""
+    kept = F.filter(
+        pieces,
+        lambda t: _is_text(t) | t.rlike(r"(?i)^<(?:script|style)[\s/>]"),
+    )
+    return F.transform(
+        kept,
+        lambda t: F.when(_is_text(t), unescape(t)).otherwise(F.regexp_replace(t, _RAW_TAGS, "")),
+    )
+
+
 def explode_tokens(pages: DataFrame) -> DataFrame:
     """One row per token: the page's columns, `pos`, `kind` and `data`."""
     rest = [c for c in pages.columns if c != "html"]
@@ -70,29 +120,38 @@ def _finished(token: Column) -> Column:
     )
 
 
-def _attributes(tag: Column) -> Column:
-    """Names, decoded values and a has-value flag of a start tag, in tag order."""
+def decode_value(value: Column) -> Column:
+    """An attribute value as written -> its text."""
+    quoted = value.startswith('"') | value.startswith("'")
+    return unescape(
+        F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    )
 
-    def every(group: int) -> Column:
-        return F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(group))
 
-    def plain(value: Column) -> Column:
-        quoted = value.startswith('"') | value.startswith("'")
-        return unescape(
-            F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-        )
+def attributes_of(tag: Column, name: str) -> Column:
+    """Decoded values of the attributes of interest of one kind of tag, in fixed order:
+    a: href, data-name, title; meta: property, name, content; script: type."""
+    return F.transform(_raw_attributes(tag, name), decode_value)
 
-    return F.struct(
-        F.transform(every(1), F.lower).alias("names"),
-        F.transform(every(2), plain).alias("values"),
-        F.transform(every(0), lambda a: a.contains("=")).alias("valued"),
-    )
+
+def _raw_attributes(tag: Column, name: str) -> Column:
+    names = _ATTRIBUTES[name]
+    pattern = _attributes_pattern(*names)
+
+    def value(i: int) -> Column:
+        # looking for the name is cheaper than matching the tag in vain
+        return F.when(tag.rlike(f"(?i){names[i]}"), F.regexp_extract(tag, pattern, i + 1)).otherwise("")
+
+    return F.array(*(value(i) for i in range(len(names))))
 
 
-def _last(attributes: Column, name: str, part: str = "values") -> Column:
-    """The last occurrence of an attribute wins."""
-    at = F.array_position(F.reverse(attributes["names"]), name)
-    return F.try_element_at(attributes[part], -F.nullif(at, F.lit(0)).cast("int"))
+def _attribute_values(token: Column, tag: Column) -> Column:
+    """Decoded values of the attributes of interest, null where absent."""
+
+    values = F.lit(None).cast("array<string>")
+    for name in _ATTRIBUTES:
+        values = F.when(tag == name, _raw_attributes(token, name)).otherwise(values)
+    return F.transform(values, decode_value)
 
 
 def _first_filled(*options: Column) -> Column:
@@ -113,26 +172,20 @@ def _fields(kind: Column, key: Column, value: Column, text: Column, closed: Colu
     )
 
 
-def _tag_mark(token: Column, kind: Column, attributes: Column) -> Column:
-    named = _first_filled(_last(attributes, "property"), _last(attributes, "name"))
+def _tag_mark(token: Column, kind: Column, values: Column) -> Column:
+    first, second, third = (F.get(values, i) for i in range(3))
     # a script "type" without a value is an error on the page: null key
-    valueless = _last(attributes, "type", "valued").eqNullSafe(F.lit(False))
     key = (
-        F.when(kind == "a", F.coalesce(_last(attributes, "href"), F.lit("")))
-        .when(kind == "meta", F.lower(strip_ws(F.coalesce(named, F.lit("")))))
-        .when(
-            (kind == "script") & ~valueless,
-            F.lower(F.coalesce(_last(attributes, "type"), F.lit(""))),
-        )
+        F.when(kind == "a", first)
+        .when(kind == "meta", F.lower(strip_ws(F.coalesce(_first_filled(first, second), F.lit("")))))
+        .when((kind == "script") & ~token.rlike(_TYPE_WITHOUT_VALUE), F.lower(first))
     )
-    label = _first_filled(_last(attributes, "data-name"), _last(attributes, "title"))
-    value = F.when(kind == "a", label).when(kind == "meta", _last(attributes, "content"))
+    value = F.when(kind == "a", _first_filled(second, third)).when(kind == "meta", third)
     raw = kind.isin("script", "style")
     body = F.when(raw, F.regexp_extract(token, rf"(?is)^{_RAW}", 2))
     closed = (
         F.when(raw, F.regexp_extract(token, rf"(?is)^{_RAW}", 3) != "")
-        .when(token.endswith("/>"), ~token.rlike(_BARE_VALUE_END))
-        .otherwise(False)
+        .otherwise(self_closed(token))
     )
     return _fields(kind, key, value, body, closed)
 
@@ -141,17 +194,31 @@ def _mark(token: Column) -> Column:
     tag = F.translate(
         F.lower(F.regexp_extract(token, r"^<(/?\s*[a-zA-Z][a-zA-Z0-9]*)", 1)), " \t\r\n\f", ""
     )
-    attributes = F.when(token.rlike(r"(?i)^<(?:a|meta|script)[\s/>]"), _attributes(token))
-    # the one-element array binds tag and attributes once per token
-    tagged = F.transform(
-        F.array(F.struct(tag.alias("tag"), attributes.alias("attributes"))),
-        lambda head: _tag_mark(token, head["tag"], head["attributes"]),
-    )[0]
+    tagged = bind(
+        tag,
+        lambda kind: bind(
+            _attribute_values(token, kind), lambda values: _tag_mark(token, kind, values)
+        ),
+    )
     none = F.lit(None)
     run = _fields(F.lit("text"), none, none, unescape(token), F.lit(False))
     return F.when(_is_text(token), run).otherwise(tagged)
 
 
+@built_once
+def tag_marks(tokens_column: str, tags: tuple[str, ...]) -> Column:
+    """Marks of the given start tags among a token array."""
+    mine = rf"(?i)^<(?:{'|'.join(tags)})[\s/>]"
+    found = F.filter(F.col(tokens_column), lambda t: t.startswith("<") & t.rlike(mine) & _finished(t))
+    return F.transform(found, _mark)
+
+
+def page_tokens(html: Column, tags: tuple[str, ...]) -> Column:
+    """Text runs, script and style elements and the given tags, in order."""
+    wanted = _wanted(tags, True)
+    return F.filter(tokens(html), lambda t: ~t.startswith("<") | (t.rlike(wanted) & _finished(t)))
+
+
 @built_once
 def _marks(tags: tuple[str, ...], text: bool) -> Column:
     wanted = _wanted(tags, text)

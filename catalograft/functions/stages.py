@@ -37,6 +37,11 @@ def built_once(build: Callable) -> Callable:
     return reuse
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once instead of at every place it occurs."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pinned(df: DataFrame, keep: list[str], **computed: Column) -> DataFrame:
     """Columns `keep` plus `computed`; filters on the latter stay above this step."""
     row = F.struct(*(c.alias(name) for name, c in computed.items()))

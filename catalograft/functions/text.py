@@ -7,10 +7,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace that str.strip() removes, as a Java character
-# class (Unicode White_Space plus the four ASCII separators).
-_WS = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_WS}++|(?<!{_WS}){_WS}++$"
+# The whitespace that str.strip() removes.
+_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _CASE_RUNS = rf"[{_CASED}]+|[^{_CASED}]+"
@@ -36,7 +34,7 @@ _PAIR, _ENTRY = "\x02", "\x01"
 
 def strip_ws(c: Column) -> Column:
     """Trim Unicode whitespace from both ends, as str.strip() does."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from catalograft.functions.text import strip_ws, title_case
 
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
+# a path without dots, colons, queries, fragments or empty segments
+_PLAIN_PATH = r"^/*+(?:[\w~+-]++/?+)*+$"
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
 
 
@@ -42,8 +44,11 @@ def root_join(c: Column, base: str) -> Column:
     path = F.regexp_replace(F.regexp_extract(bare, "^[^?#]*", 0), "/{2,}", "/")
     tail = F.regexp_extract(bare, r"(?s)[?#].*$", 0)
     resolved = F.when(path.rlike(_DOT_SEGMENT), _resolve_dots(path)).otherwise(path)
-    return F.when(bare.rlike(_SCHEME), bare).otherwise(
-        F.concat(F.lit(site_root(base) + "/"), resolved, tail)
+    root = F.lit(site_root(base) + "/")
+    return (
+        F.when(c.rlike(_PLAIN_PATH), F.concat(root, F.ltrim(c, F.lit("/"))))
+        .when(bare.rlike(_SCHEME), bare)
+        .otherwise(F.concat(root, resolved, tail))
     )
 
 

@@ -19,7 +19,7 @@ from catalograft.functions.markup import (
     segments_at,
     with_marks,
 )
-from catalograft.functions.stages import built_once, exploded, pinned
+from catalograft.functions.stages import bind, built_once, exploded, pinned
 from catalograft.functions.text import join_runs, strip_ws
 
 
@@ -51,8 +51,8 @@ def collect_links(pages: DataFrame, prefixes: Iterable[str]) -> DataFrame:
 def _closed_links(anchors: str) -> Column:
     found = F.transform(
         F.col(anchors),
-        lambda seg, i: F.transform(
-            F.array(closing_position(seg, "a")),
+        lambda seg, i: bind(
+            closing_position(seg, "a"),
             lambda closing: F.struct(
                 link_target(seg[0]).alias("href"),
                 i.alias("pos"),
@@ -60,7 +60,7 @@ def _closed_links(anchors: str) -> Column:
                     closing > 0, strip_ws(F.array_join(runs_before(seg, closing), ""))
                 ).alias("text"),
             ),
-        )[0],
+        ),
     )
     return F.filter(found, lambda link: link["text"].isNotNull())
 
@@ -102,7 +102,10 @@ def h1_title(pages: DataFrame) -> DataFrame:
 def last_heading(headings: Column) -> Column:
     """Last non-empty text among heading segments."""
     texts = F.transform(
-        headings, lambda seg: join_runs(runs_before(seg, closing_position(seg, "h1")))
+        headings,
+        lambda seg: bind(
+            closing_position(seg, "h1"), lambda closing: join_runs(runs_before(seg, closing))
+        ),
     )
     return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(-1))
 

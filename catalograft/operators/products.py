@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 
 from catalograft.functions import jsonld
 from catalograft.functions.markup import (
-    closing_position,
+    anchor_segments,
+    attributes_of,
     group_runs,
-    runs_before,
+    page_tokens,
+    segment_closed,
     segments_at,
-    with_marks,
+    self_closed,
+    tag_marks,
+    text_runs,
+    tokens,
 )
-from catalograft.functions.stages import built_once, exploded, pinned
+from catalograft.functions.stages import bind, built_once, exploded, pinned
 from catalograft.functions.text import blank_to_null, join_runs, strip_ws
 from catalograft.functions.urls import has_prefix, humanize_slug, mention_key, root_join
-from catalograft.operators.links import jsonld_bodies, last_heading, meta_items
+from catalograft.operators.links import jsonld_bodies, meta_items
 
 INGREDIENT_PREFIX = "/ingredients/"
 BRAND_PREFIX = "/brand"
@@ -31,95 +36,132 @@ STRICT_BRAND_PREFIXES = ("/brand/", "/brands/")
 _EVENT = "struct<key:string,setter:boolean,labelled:boolean,name:string,url:string>"
 
 
-def _event(key: Column, setter, labelled, name: Column, url: Column) -> Column:
+def _event(key: Column, setter: Column, labelled: Column, name: Column, url: Column) -> Column:
     return F.struct(
         key.alias("key"),
-        F.lit(setter).alias("setter") if isinstance(setter, bool) else setter.alias("setter"),
-        F.lit(labelled).alias("labelled"),
+        setter.alias("setter"),
+        labelled.alias("labelled"),
         name.alias("name"),
         url.alias("url"),
     )
 
 
-def _anchor_events(anchors: Column, base: str) -> Column:
+def _anchors(segments: Column, base: str, prefixes: tuple[str, ...]) -> Column:
+    """Ingredient and brand anchors in order: href, label, address, text.
+
+    The text is null when the anchor is not closed before the next one.
+    """
+
+    def anchor(pieces: Column, values: Column) -> Column:
+        closed = segment_closed(pieces)
+        content = F.slice(pieces, F.lit(2), F.size(pieces))
+        text = F.when(self_closed(pieces[0]), F.lit("")).when(
+            closed, join_runs(text_runs(content))
+        )
+        return F.when(
+            has_prefix(values[0], (INGREDIENT_PREFIX, *prefixes)),
+            F.struct(
+                values[0].alias("href"),
+                F.coalesce(blank_to_null(values[1]), blank_to_null(values[2])).alias("label"),
+                root_join(values[0], base).alias("url"),
+                text.alias("text"),
+            ),
+        )
+
+    def read(segment: Column) -> Column:
+        return bind(
+            tokens(segment),
+            lambda pieces: bind(
+                attributes_of(pieces[0], "a"), lambda values: anchor(pieces, values)
+            ),
+        )
+
+    return F.filter(F.transform(segments, read), lambda a: a.isNotNull())
+
+
+def _is_ingredient(anchor: Column) -> Column:
+    return anchor["href"].startswith(INGREDIENT_PREFIX)
+
+
+def _anchor_events(anchors: Column) -> Column:
     """Mention events of ingredient anchors: a label event at the start tag, a text
     event at the end tag."""
 
-    def events(seg: Column, closing: Column) -> Column:
-        opener = seg[0]
-        url = root_join(opener["key"], base)
-        text = join_runs(runs_before(seg, closing))
+    def events(anchor: Column) -> Column:
+        # the address is never empty here, so it is the key
+        key, url, text = F.lower(anchor["url"]), anchor["url"], anchor["text"]
+        label = anchor["label"]
         label_event = F.when(
-            opener["value"].isNotNull(),
-            _event(
-                mention_key(url, opener["value"]), True, True, strip_ws(opener["value"]), url
-            ),
+            label.isNotNull(), _event(key, F.lit(True), F.lit(True), strip_ws(label), url)
         )
+        named = F.when(text == "", humanize_slug(anchor["href"], "mention")).otherwise(text)
         text_event = F.when(
-            closing > 0,
-            _event(
-                mention_key(url, text),
-                text != "",
-                False,
-                F.coalesce(blank_to_null(text), humanize_slug(opener["key"], "mention")),
-                url,
-            ),
+            text.isNotNull(), _event(key, text != "", F.lit(False), named, url)
         )
         return F.array(label_event, text_event)
 
-    mine = F.filter(anchors, lambda seg: has_prefix(seg[0]["key"], (INGREDIENT_PREFIX,)))
-    pairs = F.transform(
-        mine,
-        lambda seg: F.transform(
-            F.array(closing_position(seg, "a")), lambda closing: events(seg, closing)
-        )[0],
-    )
+    pairs = F.transform(F.filter(anchors, _is_ingredient), events)
     return F.filter(F.flatten(pairs), lambda e: e.isNotNull())
 
 
-def _brand_anchors(anchors: Column, base: str, prefixes) -> Column:
-    """Ordered (url, text) of brand anchors; text is null unless the anchor is closed."""
-    mine = F.filter(
-        anchors,
-        lambda seg: has_prefix(seg[0]["key"], prefixes)
-        & ~has_prefix(seg[0]["key"], (INGREDIENT_PREFIX,)),
-    )
+def _brand_anchors(anchors: Column) -> Column:
+    """Ordered (url, text) of brand anchors; text is null when empty or unclosed."""
     return F.transform(
-        mine,
-        lambda seg: F.transform(
-            F.array(closing_position(seg, "a")),
-            lambda closing: F.struct(
-                root_join(seg[0]["key"], base).alias("url"),
-                F.when(closing > 0, blank_to_null(join_runs(runs_before(seg, closing)))).alias(
-                    "text"
-                ),
-            ),
-        )[0],
+        F.filter(anchors, lambda a: ~_is_ingredient(a)),
+        lambda a: F.struct(a["url"].alias("url"), blank_to_null(a["text"]).alias("text")),
     )
 
 
+def _last_heading(headings: Column) -> Column:
+    """Last non-empty text among token segments that start with an h1."""
+
+    def text(segment: Column) -> Column:
+        closing = F.array_position(
+            F.transform(segment, lambda t: t.startswith("</")), F.lit(True)
+        ).cast("int")
+        inner = F.slice(segment, F.lit(2), F.greatest(closing - 2, F.lit(0)))
+        return F.when(self_closed(segment[0]), F.lit("")).otherwise(join_runs(text_runs(inner)))
+
+    return F.try_element_at(F.filter(F.transform(headings, text), lambda t: t != ""), F.lit(-1))
+
+
 def page_parts(
     pages: DataFrame, base: str, strict_brand_prefix: bool = False
 ) -> DataFrame:
     """Raw parts of every page: title, metas, JSON-LD blocks, events and brand anchors."""
     kept = [c for c in pages.columns if c != "html"]
     prefixes = STRICT_BRAND_PREFIXES if strict_brand_prefix else (BRAND_PREFIX,)
-    marked = with_marks(pages.where(F.col("html").isNotNull()), ("a", "h1", "meta"))
-    cut = segments_at(marked, lambda m: m["kind"] == "a", "anchors")
-    cut = segments_at(cut, lambda m: m["kind"] == "h1", "headings")
-    return pinned(cut, kept, **_part_columns(base, prefixes))
+    cut = pinned(
+        pages.where(F.col("html").isNotNull()), kept, **_cut_columns(base, prefixes)
+    )
+    headed = segments_at(
+        cut.withColumn("marks", tag_marks("tokens", ("meta", "script"))),
+        lambda t: t.startswith("<") & t.rlike(r"(?i)^<h1[\s/>]"),
+        "headings",
+        "tokens",
+    )
+    return pinned(headed, kept, **_part_columns())
 
 
 @built_once
-def _part_columns(base: str, prefixes: tuple[str, ...]) -> dict[str, Column]:
+def _cut_columns(base: str, prefixes: tuple[str, ...]) -> dict[str, Column]:
+    html = F.col("html")
+    return {
+        "tokens": page_tokens(html, ("h1", "meta")),
+        "anchors": _anchors(anchor_segments(html), base, prefixes),
+    }
+
+
+@built_once
+def _part_columns() -> dict[str, Column]:
     marks, anchors = F.col("marks"), F.col("anchors")
     return {
-        "title": last_heading(F.col("headings")),
+        "title": _last_heading(F.col("headings")),
         "metas": meta_items(marks),
         "blocks": jsonld_bodies(marks),
         "bad_script": F.exists(marks, lambda m: (m["kind"] == "script") & m["key"].isNull()),
-        "events": _anchor_events(anchors, base),
-        "brands": _brand_anchors(anchors, base, prefixes),
+        "events": _anchor_events(anchors),
+        "brands": _brand_anchors(anchors),
     }
 
 
@@ -211,7 +253,9 @@ def merge_by_name(df: DataFrame, folded: str = "folded", out: str = "ingredients
 def _json_events(mentions: Column) -> Column:
     return F.transform(
         mentions,
-        lambda m: _event(mention_key(m["url"], m["name"]), False, False, m["name"], m["url"]),
+        lambda m: _event(
+            mention_key(m["url"], m["name"]), F.lit(False), F.lit(False), m["name"], m["url"]
+        ),
     )
 
 
@@ -230,35 +274,47 @@ def extract_products(
     noded = with_product_node(page_parts(pages, base, strict_brand_prefix))
     read = noded.withColumn("node", F.try_parse_json("json_ld"))
     parts = ["title", "metas", "events", "brands", "bad_script", "json_ld", "node_error"]
-    fields = pinned(read, [*kept, *parts], **_node_columns(base))
-    combined = fields.withColumns(_event_columns())
-    rostered = merge_by_name(fold_mentions(combined))
+    raw = pinned(read, [*kept, *parts, "node"], raws=jsonld.raw_members(F.col("node")))
+    fields = pinned(raw, [*kept, *parts], **_node_columns())
+    combined = pinned(
+        fields,
+        [c for c in fields.columns if c not in ("events", "payload")],
+        **_event_columns(base),
+    )
+    combined = combined.withColumn("events", F.col("mentions.events")).withColumn(
+        "name_failed", F.col("mentions.failed")
+    )
+    rostered = merge_by_name(fold_mentions(combined.drop("mentions")))
     return pinned(rostered, kept, **_product_columns())
 
 
 @built_once
-def _node_columns(base: str) -> dict[str, Column]:
-    node = jsonld.Node(F.col("node"))
+def _node_columns() -> dict[str, Column]:
+    node = jsonld.Node(F.col("node"), F.col("raws"))
     return {
-        "ld_name": node.filled("$.name"),
+        "ld_name": node.filled("name"),
         "ld_brand": jsonld.brand(node),
-        "ld_description": node.filled("$.description"),
+        "ld_description": node.filled("description"),
         "ld_image": jsonld.first_image(node),
         "rating_value": jsonld.rating_value(node),
         "rating_count": jsonld.rating_count(node),
         "count_infinite": jsonld.rating_count_infinite(node),
         "categories": jsonld.categories(node),
-        "mentions": jsonld.json_mentions(jsonld.ingredient_payload(node), base),
+        "payload": jsonld.ingredient_payload(node),
     }
 
 
 @built_once
-def _event_columns() -> dict[str, Column]:
+def _event_columns(base: str) -> dict[str, Column]:
     """JSON mentions come after all anchor events of the page."""
-    both = F.concat(F.col("events"), _json_events(F.col("mentions")))
     return {
-        "events": both.cast(f"array<{_EVENT}>"),
-        "name_failed": F.exists("mentions", lambda m: m["failed"]),
+        "mentions": bind(
+            jsonld.json_mentions(F.col("payload"), base),
+            lambda mentions: F.struct(
+                F.concat(F.col("events"), _json_events(mentions)).cast(f"array<{_EVENT}>").alias("events"),
+                F.exists(mentions, lambda m: m["failed"]).alias("failed"),
+            ),
+        )
     }
 
 

@@ -167,9 +167,11 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     html = _text("<!DOCTYPE html><html><body><!-- <h1>no</h1> -->", head, _anchors(listed), "</body></html>")
-    return joined.select(
+    pages = joined.select(
         key.alias("page_id"), _text(BASE, product_href(key)).alias("url"), html.alias("html")
     )
+    # captured pages come in many files; keep the built ones on all cores
+    return pages.repartition(spark.sparkContext.defaultParallelism, "page_id")
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
