@@ -243,20 +243,9 @@ def segments_at(
 ) -> DataFrame:
     """Add `out`: the marks from each opening mark up to the next one, in order."""
     at = f"_{out}_at"
-    every = F.col(marks)
-    df = df.withColumn(
-        at,
-        F.filter(
-            F.transform(every, lambda m, i: F.when(opens(m), i)), lambda i: i.isNotNull()
-        ),
-    )
-    cut = F.transform(
-        F.col(at),
-        lambda start, k: F.slice(
-            every, start + 1, F.coalesce(F.get(F.col(at), k + 1), F.size(every)) - start
-        ),
-    )
-    return df.withColumn(out, cut).drop(at)
+    starts = F.transform(F.col(marks), lambda m, i: F.when(opens(m), i))
+    df = df.withColumn(at, F.filter(starts, lambda i: i.isNotNull()))
+    return df.withColumn(out, _cuts(marks, at)).drop(at)
 
 
 def closing_position(segment: Column, tag: str) -> Column:
@@ -312,24 +301,26 @@ def group_runs(df: DataFrame, items: str, key: str, out: str) -> DataFrame:
     """
     ordered, at = f"_{out}_sorted", f"_{out}_at"
     df = df.withColumn(ordered, F.array_sort(F.col(items)))
-    df = df.withColumn(
-        at,
-        F.filter(
-            F.transform(
-                F.col(ordered),
-                lambda x, i: F.when(
-                    (i == 0) | (x[key] != F.get(F.col(ordered), i - 1)[key]), i
-                ),
-            ),
-            lambda i: i.isNotNull(),
-        ),
+    df = df.withColumn(at, _run_starts(ordered, key))
+    return df.withColumn(out, _cuts(ordered, at)).drop(ordered, at)
+
+
+@built_once
+def _run_starts(ordered: str, key: str) -> Column:
+    starts = F.transform(
+        F.col(ordered),
+        lambda x, i: F.when((i == 0) | (x[key] != F.get(F.col(ordered), i - 1)[key]), i),
     )
-    groups = F.transform(
+    return F.filter(starts, lambda i: i.isNotNull())
+
+
+@built_once
+def _cuts(items: str, at: str) -> Column:
+    """Slices of an array from each start position up to the next one."""
+    every = F.col(items)
+    return F.transform(
         F.col(at),
         lambda start, k: F.slice(
-            F.col(ordered),
-            start + 1,
-            F.coalesce(F.get(F.col(at), k + 1), F.size(F.col(ordered))) - start,
+            every, start + 1, F.coalesce(F.get(F.col(at), k + 1), F.size(every)) - start
         ),
     )
-    return df.withColumn(out, groups).drop(ordered, at)

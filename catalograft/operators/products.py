@@ -169,9 +169,7 @@ def with_product_node(parts: DataFrame) -> DataFrame:
     """Replace `blocks` by `json_ld`, the page's product node as JSON text, and
     `node_error`."""
     kept = [c for c in parts.columns if c != "blocks"]
-    states = jsonld.block_states(F.col("blocks"))
-    verdict = F.get(F.filter(states, lambda s: s["verdict"] != "none"), 0)
-    judged = pinned(parts, [*kept, "blocks"], first=verdict)
+    judged = pinned(parts, [*kept, "blocks"], first=_verdict("blocks"))
     open_blocks = F.when(F.col("first.verdict") == "open", F.col("blocks"))
     walked = judged.withColumn("walked", jsonld.walk_blocks(open_blocks))
     return walked.select(
@@ -183,13 +181,27 @@ def with_product_node(parts: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _verdict(blocks: str) -> Column:
+    states = jsonld.block_states(F.col(blocks))
+    return F.get(F.filter(states, lambda s: s["verdict"] != "none"), 0)
+
+
 def fold_mentions(df: DataFrame, events: str = "events", out: str = "folded") -> DataFrame:
     """Fold an ordered event array by key into `out`: (name_key, ord, name, url).
 
     The order is that of the first event. The first event always sets the name,
     later ones only if they are setters. A labelled event also sets the address.
     """
-    ordered = F.transform(
+    kept = [c for c in df.columns if c != events]
+    numbered = df.select(*kept, _numbered(events).alias("_events"))
+    grouped = group_runs(numbered, "_events", "key", "_groups")
+    return grouped.select(*kept, _folds("_groups").alias(out))
+
+
+@built_once
+def _numbered(events: str) -> Column:
+    return F.transform(
         F.col(events),
         lambda e, i: F.struct(
             e["key"].alias("key"),
@@ -200,36 +212,49 @@ def fold_mentions(df: DataFrame, events: str = "events", out: str = "folded") ->
             e["url"].alias("url"),
         ),
     )
-    kept = [c for c in df.columns if c != events]
-    grouped = group_runs(df.select(*kept, ordered.alias("_events")), "_events", "key", "_groups")
 
+
+@built_once
+def _folds(groups: str) -> Column:
     def fold(group: Column) -> Column:
         named = F.filter(group, lambda e, i: (i == 0) | e["setter"])
         labelled = F.filter(group, lambda e: e["labelled"])
         linked = F.filter(group, lambda e: e["url"] != "")
-        name = F.element_at(named, -1)["name"]
-        ord_ = group[0]["ord"]
+        url = F.coalesce(
+            F.try_element_at(labelled, F.lit(-1))["url"], F.get(linked, 0)["url"], F.lit("")
+        )
+        return F.struct(
+            group[0]["ord"].alias("ord"),
+            F.element_at(named, -1)["name"].alias("name"),
+            url.alias("url"),
+        )
+
+    def keyed(entry: Column) -> Column:
         # names are compared ignoring case; an empty name never merges
-        name_key = F.when(name == "", F.concat(F.lit("\x00"), ord_)).otherwise(F.lower(name))
+        name_key = F.when(
+            entry["name"] == "", F.concat(F.lit("\x00"), entry["ord"])
+        ).otherwise(F.lower(entry["name"]))
         return F.struct(
             name_key.alias("name_key"),
-            ord_.alias("ord"),
-            name.alias("name"),
-            F.coalesce(
-                F.try_element_at(labelled, F.lit(-1))["url"],
-                F.get(linked, 0)["url"],
-                F.lit(""),
-            ).alias("url"),
+            entry["ord"].alias("ord"),
+            entry["name"].alias("name"),
+            entry["url"].alias("url"),
         )
 
-    return grouped.withColumn(out, F.transform("_groups", fold)).drop("_events", "_groups")
+    return F.transform(F.transform(F.col(groups), fold), keyed)
 
 
 def merge_by_name(df: DataFrame, folded: str = "folded", out: str = "ingredients") -> DataFrame:
     """Merge folded mentions of equal name into the first; number them from 1."""
+    kept = [c for c in df.columns if c != folded]
     grouped = group_runs(df, folded, "name_key", "_names")
+    return grouped.select(*kept, _roster("_names").alias(out))
+
+
+@built_once
+def _roster(groups: str) -> Column:
     merged = F.transform(
-        "_names",
+        F.col(groups),
         lambda group: F.struct(
             group[0]["ord"].alias("ord"),
             group[0]["name"].alias("name"),
@@ -238,7 +263,7 @@ def merge_by_name(df: DataFrame, folded: str = "folded", out: str = "ingredients
             ).alias("url"),
         ),
     )
-    roster = F.transform(
+    return F.transform(
         F.array_sort(merged),
         lambda e, i: F.struct(
             (i + 1).alias("position"),
@@ -247,7 +272,6 @@ def merge_by_name(df: DataFrame, folded: str = "folded", out: str = "ingredients
             F.create_map().cast("map<string,string>").alias("extra"),
         ),
     )
-    return grouped.withColumn(out, roster).drop(folded, "_names")
 
 
 def _json_events(mentions: Column) -> Column:
