@@ -67,6 +67,13 @@ def newest(captures: DataFrame) -> DataFrame:
 
 
 def lookup_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """`urls` with page_id, html and `found`; a page without body is not found."""
-    captured = newest(pages.select("page_id", "url", "html"))
-    return urls.join(captured, "url", "left").withColumn("found", F.col("html").isNotNull())
+    """`urls` with page_id, html and `found`; a page without body is not found.
+
+    The newest capture of each address is chosen on narrow columns first. The bodies
+    are then joined by address and page_id, a key no two captures share, so copies of
+    one page do not meet in one task and only wanted bodies can match.
+    """
+    chosen = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    wanted = urls.select("url").distinct().join(chosen, "url")
+    bodies = pages.select("url", "page_id", "html").join(wanted, ["url", "page_id"], "left_semi")
+    return urls.join(bodies, "url", "left").withColumn("found", F.col("html").isNotNull())
