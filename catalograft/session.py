@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute `df` once and cut its lineage with a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute `df` once and cut its lineage: a table in the shared checkpoint folder.
+
+    Unlike a row checkpoint the table is columnar, so later steps read only the
+    columns they need and plan with its real size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
