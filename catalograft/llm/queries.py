@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from catalograft.llm import mixing, packing, secret_scan
+from pyspark.sql import functions as F
+
+from catalograft.llm import ann, embedding_dedup, mixing, packing, secret_scan, simhash
 from catalograft.llm.common import table
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
 def op6_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -21,7 +33,12 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_secret_scans, op8_mixing)}
+def op9_nearest(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_simhash, op6_packing, op7_secret_scans, op8_mixing, op9_nearest)}
 
 ORACLES = {
     "op8_mixing": """
