@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalograft.llm import ann, embedding_dedup, mixing, packing, secret_scan, simhash
+from catalograft.llm import ann, embedding_dedup, langid, mixing, packing, secret_scan, simhash
 from catalograft.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op4_simhash(spark, sf_dir):
     return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    found = langid.identify(docs.select("doc_id", "text"), net)
+    held_out = langid.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -38,7 +46,7 @@ def op9_nearest(spark, sf_dir):
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_simhash, op6_packing, op7_secret_scans, op8_mixing, op9_nearest)}
+QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest)}
 
 ORACLES = {
     "op8_mixing": """
