@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalograft.llm import ann, embedding_dedup, langid, mixing, packing, secret_scan, simhash
+from catalograft.llm import ann, embedding_dedup, langid, main_text, mixing, packing, secret_scan, simhash
 from catalograft.llm.common import table
 
 
@@ -46,7 +46,14 @@ def op9_nearest(spark, sf_dir):
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest)}
+def op10_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = main_text.extract(pages, main_text.fit(pages))
+    text = F.col("main_text")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text)}
 
 ORACLES = {
     "op8_mixing": """
