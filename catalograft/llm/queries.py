@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalograft.llm import ann, embedding_dedup, langid, main_text, mixing, packing, secret_scan, simhash
+from catalograft.llm import ann, embedding_dedup, katz, langid, main_text, mixing, packing, secret_scan, simhash
 from catalograft.llm.common import table
 
 
+def op1_katz(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return katz.score(docs, katz.held_out(docs["doc_id"]))
+
+
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +58,7 @@ def op10_main_text(spark, sf_dir):
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_katz, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text)}
 
 ORACLES = {
     "op8_mixing": """
