@@ -57,7 +57,7 @@ def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
     """How many words of each document the mix takes.
 
     In: doc_id, text, source (other columns are ignored). Out, one row per row:
-    doc_id, size, source_size, target, taken. Every source first gives
+    doc_id, size, source_size, target, taken, text_key. Every source first gives
     floor(target / size) complete epochs. The rest of its target is sampled without
     replacement: documents come in the order of -ln(u) / quality, u drawn from a hash of
     doc_id and seed, and the one that crosses the budget gives only the words still
@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
             "source",
             "size",
             (-F.log(uniform) / quality_weight(F.col("text"), F.col("size"))).alias("key"),
-            F.md5(F.coalesce("text", F.lit(""))).alias("tie"),
+            text_key(F.col("text")).alias("tie"),
         )
     )
     targets = source_targets(
@@ -121,9 +121,29 @@ def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
         "source_size",
         F.col("target").cast("double").alias("target"),
         (epochs * F.col("size") + fraction).cast("long").alias("taken"),
+        F.col("tie").alias("text_key"),
     )
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart and orders them."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of the mix: each document as often as taken, then its first words still wanted."""
+    taken = mixed.groupBy("doc_id", "text_key").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+    taken = taken.where("taken > 0").select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "taken", "size")
+    keyed = docs.withColumn("__k", text_key(docs["text"]))
+    copy = Window.partitionBy("doc_id", "__k").orderBy(F.lit(0))
+    single = keyed.withColumn("__c", F.row_number().over(copy)).where("__c = 1")
+    met = single.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__k") == F.col("k")))
+    words = F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")
+    each = met.withColumn("__w", F.explode(words))
+    text = F.when(F.col("__w") == F.col("size"), F.col("text")).otherwise(take_words(F.col("text"), F.col("__w")))
+    return each.withColumn("text", text).select(docs.columns)
+
+
 def take_words(text: Column, n: Column) -> Column:
     """The first n words of a text with the space between them, for a document cut by a budget."""
     pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

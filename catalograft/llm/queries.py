@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalograft.llm import ann, embedding_dedup, katz, langid, main_text, mixing, packing, secret_scan, simhash
+from catalograft.llm import ann, embedding_dedup, katz, langid, licenses, main_text, mixing, packing, secret_scan, simhash
 from catalograft.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_katz(spark, sf_dir):
     return katz.score(docs, katz.held_out(docs["doc_id"]))
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op7_secret_scans(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_nearest(spark, sf_dir):
@@ -58,9 +62,40 @@ def op10_main_text(spark, sf_dir):
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_licenses, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text)}
+
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\p{L}\p{N}]+(?:\.\p{N}+)*')"""
+_SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))"
 
 ORACLES = {
+    "op2_licenses": f"""
+WITH notices AS (
+  SELECT license_id, {_SHINGLES} AS s FROM (
+    SELECT license_id, {_WORDS} AS w FROM (VALUES {_NOTICES}) AS n(license_id, text))
+), texts AS (
+  SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)
+)
+SELECT doc_id, license_id, len(list_intersect(texts.s, notices.s)) / len(notices.s) AS containment
+FROM texts, notices WHERE len(list_intersect(texts.s, notices.s)) >= 0.8 * len(notices.s)
+""",
+    "op3_embedding_dedup": """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), named AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, n.component_id, e.vec_id = n.component_id AS kept
+FROM embeddings e JOIN named n ON e.vec_id = n.x LEFT JOIN counted c ON e.vec_id = c.x
+""",
     "op8_mixing": """
 WITH rows AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS size

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalograft.llm.common import local_components, words
@@ -127,14 +127,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row; fp holds the 64 bits as a signed long."""
+    """(doc_id, text_key, fp) per row; fp holds the 64 bits as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"]
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
+    keyed = docs.select("doc_id", "text", text_key(docs["text"]).alias("text_key"))
+    return keyed.mapInArrow(compute, "doc_id long, text_key long, fp long")
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def _words_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +286,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) per row: component_id is the smallest doc_id reachable.
+    """(doc_id, text_key, fp, component, component_id) per row.
+
+    component_id is the smallest doc_id reachable, component a fingerprint that names the same
+    group where ids are null or repeated.
 
     In: doc_id, text (other columns are ignored). Documents of equal fingerprint are linked
     without being compared; links between different fingerprints come from `near_pairs`.
@@ -294,5 +305,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     joined = distinct.join(reached, distinct["fp"] == reached["id"], "left")
     placed = settle(joined.select("fp", "least", F.coalesce("component", "fp").alias("c")))
     smallest = placed.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "c").select(F.col("fp").alias("f"), "component_id")
-    return marked.join(named, marked["fp"] == named["f"]).select("doc_id", "fp", "component_id")
+    named = placed.join(smallest, "c").select(F.col("fp").alias("f"), F.col("c").alias("component"), "component_id")
+    return marked.join(named, marked["fp"] == named["f"]).drop("f")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay: of each group the one of smallest id, null ids last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k")))
+    stay = found.groupBy("component").agg(first.alias("s")).select("s.i", "s.k").distinct()
+    keyed = docs.withColumn("__k", text_key(docs["text"]))
+    met = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__k") == F.col("k")), "left_semi")
+    copy = Window.partitionBy("doc_id", "__k").orderBy(F.lit(0))
+    return met.withColumn("__n", F.row_number().over(copy)).where("__n = 1").select(docs.columns)

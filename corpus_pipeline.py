@@ -5,10 +5,53 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from catalograft.llm import langid, mixing, packing, secret_scan, simhash
 from catalograft.session import checkpoint_dir
 
-STAGES: list = []
+#: A text is rejected when no language reaches this share of its positions' probability.
+LEAST_LANGUAGE = 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a language that is known; a missing language is filled in."""
+    judged = langid.identify(docs, langid.fit(docs))
+    good = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
+    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the credentials found replaced by their kinds."""
+    clean = secret_scan.redact(secret_scan.scan_secrets(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = mixing.repeated(docs, mixing.mix_sources(docs))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Trained models, fingerprints by XXH64 and tokenizer ids cannot be expressed in SQL.
 ORACLE_SQL = None
