@@ -67,7 +67,7 @@ QUERIES = {f.__name__: f for f in (op1_katz, op2_licenses, op3_embedding_dedup,
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[\p{L}\p{N}]+(?:\.\p{N}+)*')"""
-_SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))"
+_SHINGLES = "list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])"
 
 ORACLES = {
     "op2_licenses": f"""
@@ -83,8 +83,8 @@ FROM texts, notices WHERE len(list_intersect(texts.s, notices.s)) >= 0.8 * len(n
     "op3_embedding_dedup": """
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
 ), links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
   ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
