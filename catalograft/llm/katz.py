@@ -208,11 +208,11 @@ class _Pairs:
         salt = follower[self.word] % spread[self.context].astype(np.uint64)
         self.follower, self.word_count = follower, counts
         order, cuts = _dealt(self._bucket(self.context, salt, buckets))
-        # a spread context is asked about in all its buckets
-        present = np.unique(self.context)
-        wide = present[spread[present] > 1]
-        who = np.repeat(wide, spread[wide])
-        salts = np.arange(who.size) - np.repeat(np.cumsum(spread[wide]) - spread[wide], spread[wide])
+        # every known context is asked about, in all its buckets: an unknown word may follow it
+        present = np.unique(before[known[before] > 0])
+        wide = spread[present]
+        who = np.repeat(present, wide)
+        salts = np.arange(who.size) - np.repeat(np.cumsum(wide) - wide, wide)
         at = self._bucket(who, salts.astype(np.uint64), buckets)
         runs = {b: order[s:e] for b, s, e in cuts}
         self.asked: list[tuple[int, np.ndarray, np.ndarray]] = []  # bucket, pairs, contexts
