@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalograft.llm.common import crc_of_id, hash_words, mix64, words
-from catalograft.session import checkpoint_dir, settle
+from catalograft.session import checkpoint_dir
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a batch, requests one counting task should get, and occurrences of a context in one bucket.
-BATCH_TOKENS, BUCKET_ROWS, CONTEXT_ROWS = 2_000_000, 1_500_000, 500_000
+BATCH_TOKENS, BUCKET_ROWS, CONTEXT_ROWS = 1_500_000, 1_000_000, 500_000
 #: What stands for the end of a text and for what precedes its first word; no word hashes so.
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -190,7 +190,7 @@ class _Pairs:
 
     def __init__(self, batch: _Batch, counts: np.ndarray, train_docs: int, buckets: int):
         size = batch.words.size
-        self.contexts = np.concatenate([batch.words, [_START]])
+        self.contexts = np.concatenate([batch.words, [_START]]) >> np.uint64(16)
         known = np.concatenate([counts, [train_docs]])
         before = np.concatenate([[size], batch.codes[:-1]]) if batch.codes.size else batch.codes
         starts = np.cumsum(batch.sizes) - batch.sizes
@@ -204,7 +204,7 @@ class _Pairs:
         self.train = np.bincount(inverse[in_train], minlength=keys.size)
         self.context, self.word = keys // (size + 1), keys % (size + 1)
         spread = 1 + known // CONTEXT_ROWS
-        follower = batch.words >> np.uint64(16)
+        follower = self.contexts[:-1]
         salt = follower[self.word] % spread[self.context].astype(np.uint64)
         self.follower, self.word_count = follower, counts
         order, cuts = _dealt(self._bucket(self.context, salt, buckets))
@@ -227,7 +227,7 @@ class _Pairs:
         for bucket, pairs, contexts in self.asked:
             runs = np.bincount(np.searchsorted(contexts, self.context[pairs]), minlength=contexts.size)
             yield bucket, number, [
-                _packed(self.contexts[contexts], "<u8"),
+                _packed(self.contexts[contexts], "<u8", 6),
                 _packed(runs, "<i4"),
                 _packed(self.follower[self.word[pairs]], "<u8", 6),
                 _packed(self.word_count[self.word[pairs]], "<i8"),
@@ -260,7 +260,7 @@ def _count_pairs(requests: pa.Table, unigrams: Unigrams) -> pa.Table:
     lower = np.bincount(at, weights=unigrams(word_count[first[seen]]), minlength=heads.size)
     sorted_ = np.lexsort((follower[first[seen]], at))
     model = [
-        _packed(heads, "<u8"),
+        _packed(heads, "<u8", 6),
         _packed(np.bincount(at, minlength=heads.size), "<i4"),
         _packed(follower[first[seen]][sorted_], "<u8", 6),
         _packed(count[sorted_], "<i8"),
@@ -274,9 +274,13 @@ def _count_pairs(requests: pa.Table, unigrams: Unigrams) -> pa.Table:
         # a pair without an answer occurs in the asking batch alone
         whole = total[group[mine]]
         other = np.flatnonzero(whole != own[mine])
+        # nor does a context whose occurrences are all in that batch
+        here = np.bincount(context[mine], weights=own[mine], minlength=heads.size)
+        wider = np.flatnonzero(occurrences[about] != here[about])
+        about = about[wider]
         data = [
-            _packed(np.diff(other, prepend=0), "<i4"), _packed(whole[other], "<i8"), _packed(occurrences[about], "<i8"),
-            _packed(lower[about], "<f8"), *(_packed(f[about], "<i4") for f in by_count),
+            _packed(np.diff(other, prepend=0), "<i4"), _packed(whole[other], "<i8"), _packed(np.diff(wider, prepend=0), "<i4"),
+            _packed(occurrences[about], "<i8"), _packed(lower[about], "<f8"), *(_packed(f[about], "<i4") for f in by_count),
         ]
         rows.append(("pair", number, bucket, data, None))
     return _answers(rows)
@@ -287,21 +291,29 @@ def _scored(batch: _Batch, counts: np.ndarray, pairs: _Pairs, answers: list[dict
     count = pairs.train.copy()
     n = pairs.contexts.size
     occurrences, lower, taken = np.zeros(n), np.zeros(n), np.zeros(n)
+    probability = unigrams(counts)
     for bucket, asked, contexts in pairs.asked:
-        steps, whole, occurs, sums, *by_count = map(
-            _unpacked, by_bucket[bucket], ("<i4", "<i8", "<i8", "<f8", *["<i4"] * DISCOUNTED)
+        steps, whole, wider, occurs, sums, *by_count = map(
+            _unpacked, by_bucket[bucket], ("<i4", "<i8", "<i4", "<i8", "<f8", *["<i4"] * DISCOUNTED)
         )
+        # what the batch knows itself, unless the answer says more
+        seen = asked[pairs.train[asked] > 0]
+        own, at = pairs.train[seen], np.searchsorted(contexts, pairs.context[seen])
+        parts = [np.bincount(at, weights=w, minlength=contexts.size) for w in (own, probability[pairs.word[seen]])]
+        parts += [np.bincount(at[own == r], minlength=contexts.size).astype(float) for r in range(1, DISCOUNTED + 1)]
+        for part, told in zip(parts, (occurs, sums, *by_count), strict=True):
+            part[np.cumsum(wider)] = told
         count[asked[np.cumsum(steps)]] = whole
-        occurrences[contexts] += occurs
-        lower[contexts] += sums
-        for r, many in enumerate(by_count, 1):
+        occurrences[contexts] += parts[0]
+        lower[contexts] += parts[1]
+        for r, many in enumerate(parts[2:], 1):
             taken[contexts] += (1 - factor[r]) * r * many
     extra = np.where((taken <= 0) & (occurrences > 0), 1.0, 0.0)
     size = np.maximum(occurrences + extra, 1)
     # what the seen followers leave, over what the shorter model gives the unseen ones
     backoff = np.where(occurrences > 0, (taken + extra) / size / (1 - lower), 1.0)
     # recursion, shortest history first
-    word = unigrams(counts)[batch.codes]
+    word = probability[batch.codes]
     of_pair = np.where(pairs.of_token >= 0, count[pairs.of_token] if count.size else 0, 0)
     discounted = of_pair * np.where(of_pair <= DISCOUNTED, factor[np.minimum(of_pair, DISCOUNTED)], 1.0)
     p = np.where(of_pair > 0, discounted / size[pairs.before], backoff[pairs.before] * word)
@@ -336,7 +348,8 @@ def score(docs: DataFrame, held_out: Column, model_path: str | None = None) -> D
 
     Neither vocabulary nor pairs are broadcast. Documents are numbered in batches; a batch asks
     each bucket once about each distinct word, then about each distinct pair, and gets the
-    counts of the whole corpus back. Words are compared by 64-bit hashes.
+    counts of the whole corpus back. Words are compared by 64-bit hashes,
+    48 bits of them within a bucket. The batches are a bucketed table of the session's catalog.
 
     Null or empty text: the end token alone. Very long texts: whole. Repeated rows: counted and
     scored each. Null doc_id: stays null, its text learned from if not held out. No training row:
@@ -344,7 +357,12 @@ def score(docs: DataFrame, held_out: Column, model_path: str | None = None) -> D
     """
     path = model_path or f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/katz-{uuid.uuid4().hex}"
     spark = docs.sparkSession
-    batches = settle(docs.select("doc_id", "text", held_out.alias("h")).mapInArrow(_batched, _BATCH))
+    # bucketed, so that answers travel to the batches and the batches stay
+    name = f"katz_{uuid.uuid4().hex}"
+    numbered = docs.select("doc_id", "text", held_out.alias("h")).mapInArrow(_batched, _BATCH)
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered.write.bucketBy(n_files, "batch").option("path", f"{path}/{name}").saveAsTable(name)
+    batches = spark.table(name)
     n_batches, train_docs, tokens = batches.agg(
         F.count("*"), F.coalesce(F.sum("n_train_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))
     ).first()

@@ -21,7 +21,7 @@ FIT_PAGES, FIT_BLOCKS = 400, 200
 #: Elements whose content is no text of the page.
 _SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
 _RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
-#: Elements that do not end a block.
+#: Elements that, like those, do not end a block.
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input", "br", "td", "th", "picture", "source", "o:p"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SPACE = {"br", "td", "th", "img", "input"}
@@ -48,10 +48,10 @@ _BIT = {name: 1 << i for i, name in enumerate(HINTS)}
 FEATURES = (*HINTS, "paragraph", "heading", "item", "length", "links", "stop", "bias")
 #: What the fit starts from and is held near to, in the order of FEATURES: a sign or a word a
 #: sample lacks still counts.
-_PRIOR = np.array([-5, -5, -5, -4, -5, -5, -7, -7, 3, 1, 0.7, 0.6, -0.4, 0.5, -2.5, 0.5, -1.0])
-_HELD = 0.3
+_PRIOR = np.array([-9, -9, -9, -8, -9, -9, -11, -11, 3, 1, 0.7, 0.6, -0.4, 0.5, -2.5, 0.5, 0.0])
+_HELD = np.array([300.0] * len(HINTS) + [3.0, 3.0, 300.0, 3.0, 3.0, 3.0, 3.0])
 #: Weights of the edges between blocks: next in page order, and next under one parent.
-NEXT, SIBLING = 0.5, 0.5
+NEXT, SIBLING = 1.0, 1.0
 
 
 @dataclass
@@ -108,7 +108,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name not in _INLINE:
+            if name not in _INLINE and name not in _SILENT:
                 close_block()
             elif name in _SPACE and not silent:
                 parts.append(" ")
@@ -122,7 +122,7 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[i]
                     break
             continue
-        if name not in _INLINE:
+        if name not in _INLINE and name not in _SILENT:
             close_block()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -234,10 +234,12 @@ def fit(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
     if not len(x):
         return weights
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * 100
+    # the landmarks made the truth, so they separate it perfectly, and a
+    # sample's lists may all be menus: these weights are held firmly
     for _ in range(25):  # Newton steps of the penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (share * (p - y)) + _HELD * (weights - _PRIOR) * 10
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 10 * _HELD * np.eye(len(weights))
+        slope = x.T @ (share * (p - y)) + _HELD * (weights - _PRIOR)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag(_HELD)
         weights = weights - np.linalg.solve(curve, slope)
     return weights
 

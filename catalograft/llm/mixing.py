@@ -132,15 +132,15 @@ def text_key(text: Column) -> Column:
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of the mix: each document as often as taken, then its first words still wanted."""
-    taken = mixed.groupBy("doc_id", "text_key").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
-    taken = taken.where("taken > 0").select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "taken", "size")
+    taken = mixed.groupBy("doc_id", "text_key").agg(F.sum("taken").alias("__taken"), F.first("size").alias("__size"))
+    taken = taken.where("__taken > 0").withColumnsRenamed({"doc_id": "__i", "text_key": "__t"})
     keyed = docs.withColumn("__k", text_key(docs["text"]))
     copy = Window.partitionBy("doc_id", "__k").orderBy(F.lit(0))
     single = keyed.withColumn("__c", F.row_number().over(copy)).where("__c = 1")
-    met = single.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__k") == F.col("k")))
-    words = F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")
+    met = single.join(taken, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__t")))
+    words = F.expr("transform(sequence(0, cast((__taken - 1) div __size as int)), i -> least(__size, __taken - i * __size))")
     each = met.withColumn("__w", F.explode(words))
-    text = F.when(F.col("__w") == F.col("size"), F.col("text")).otherwise(take_words(F.col("text"), F.col("__w")))
+    text = F.when(F.col("__w") == F.col("__size"), F.col("text")).otherwise(take_words(F.col("text"), F.col("__w")))
     return each.withColumn("text", text).select(docs.columns)
 
 
