@@ -8,6 +8,7 @@ in order, because variant objects come back with their keys sorted.
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,7 @@ _INT_TEXT = rf"^[+-]?{_DIGITS}$"
 TYPE_ERROR = "json-ld: @type is not a plain value"
 NAME_ERROR = "json-ld: ingredient name is not text"
 COUNT_ERROR = "json-ld: ratingCount is infinite"
+UNREAD_ERROR = "json-ld: the product cannot be read back"
 
 
 def block_states(blocks: Column) -> Column:
@@ -60,7 +62,22 @@ def block_states(blocks: Column) -> Column:
 
 def _block_walker():
     """The Arrow helper; its functions are local so that workers need no import of ours."""
-    types, type_error = frozenset(PRODUCT_TYPES), TYPE_ERROR
+    types, type_error, count_error = frozenset(PRODUCT_TYPES), TYPE_ERROR, COUNT_ERROR
+
+    class Odd(str):
+        """A number no double can hold; it stays as its text."""
+
+    def whole(text):
+        return int(text) if len(text) < 300 else Odd(text)
+
+    def real(text):
+        return Odd(text) if math.isinf(float(text)) else float(text)
+
+    def infinite_count(node):
+        rating = node.get("aggregateRating")
+        count = rating.get("ratingCount") if isinstance(rating, dict) else None
+        # a whole number of any length is not infinite
+        return isinstance(count, Odd) and count.lstrip("-") != "NaN" and not count.lstrip("-").isdigit()
 
     def first_product(document):
         """First product object of a parsed document in document order."""
@@ -86,7 +103,7 @@ def _block_walker():
     def walk(blocks):
         for block in blocks:
             try:
-                document = json.loads(block, parse_constant=str)
+                document = json.loads(block, parse_constant=Odd, parse_float=real, parse_int=whole)
             except json.JSONDecodeError:
                 continue
             except RecursionError:
@@ -95,6 +112,8 @@ def _block_walker():
                 node = first_product(document)
             except TypeError:
                 return None, type_error
+            if node and infinite_count(node):
+                return as_text(node), count_error
             if node:
                 return as_text(node), None
         return None, None

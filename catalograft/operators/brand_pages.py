@@ -13,7 +13,7 @@ from catalograft.functions.urls import build_url, humanize_slug, query_join
 from catalograft.functions.markup import with_marks
 from catalograft.operators.links import links_in, named_links_in
 from catalograft.session import settle
-from catalograft.sources.pages import newest
+from catalograft.sources.pages import current
 
 PRODUCT_PREFIX = "/products/"
 PAGER_PREFIX = "?page="
@@ -34,11 +34,11 @@ def brand_products(
     """
     if under:
         pages = pages.where(F.col("url").startswith(under))
-    marked = with_marks(pages.select("page_id", "url", "html").where("html is not null"), ("a",))
+    marked = with_marks(current(pages.select("page_id", "url", "html")), ("a",))
     linked = named_links_in(marked, (PRODUCT_PREFIX,), "products").withColumn(
         "pagers", links_in(F.col("marks"), (PAGER_PREFIX,))
     )
-    content = settle(newest(linked.select("page_id", "url", "products", "pagers")))
+    content = settle(linked.select("url", "products", "pagers"))
     edges = exploded(content, ["url"], F.col("pagers"), "ref").select(
         "url", "pos", query_join(F.col("url"), F.col("ref")).alias("next_url")
     )

@@ -12,7 +12,7 @@ from catalograft.functions.text import blank_to_null
 from catalograft.functions.urls import build_url, humanize_slug, letter_url, site_root
 from catalograft.operators.links import link_arrays, named_link_arrays
 from catalograft.session import settle
-from catalograft.sources.pages import newest
+from catalograft.sources.pages import current
 
 # The letter tokens in reading order.
 LETTERS = (*string.ascii_lowercase, "0-9", "other")
@@ -35,13 +35,13 @@ def brand_directory(pages: DataFrame, base: str) -> DataFrame:
     the first missing or empty page and after the first page shorter than a step.
     """
     listing = site_root(base) + "/brands?offset="
-    offset = F.substring("url", len(listing) + 1, 18)
-    candidates = pages.where(
-        F.col("url").startswith(listing) & offset.rlike("^(?:0|[1-9][0-9]*)$")
-    )
-    links = newest(named_link_arrays(candidates, ("/brand/",)))
+    number = F.substr("url", F.lit(len(listing) + 1))
+    # a number no page list can reach is not a page of it
+    offset = F.when(number.rlike("^(?:0|[1-9][0-9]*)$"), number.try_cast("bigint"))
+    candidates = pages.where(F.col("url").startswith(listing) & offset.isNotNull())
+    links = named_link_arrays(current(candidates), ("/brand/",))
     read = settle(
-        links.select(offset.cast("bigint").alias("offset"), "links", F.size("links").alias("n"))
+        links.select(offset.alias("offset"), "links", F.size("links").alias("n"))
         .where(F.col("n") > 0)
     )
     first = read.where(F.col("offset") == 0).select("n").first()
@@ -77,10 +77,12 @@ def brand_letters(pages: DataFrame, base: str) -> DataFrame:
     """
     root = site_root(base)
     token = F.regexp_extract("url", r"\?letter=([^&]*)", 1)
-    page = F.coalesce(blank_to_null(F.regexp_extract("url", "&page=([0-9]+)", 1)).cast("int"), F.lit(1))
+    number = blank_to_null(F.regexp_extract("url", "&page=([0-9]+)", 1))
+    # too large a number stays null, which is no page a reader asks for
+    page = F.when(number.isNull(), 1).otherwise(number.try_cast("int"))
     token_no = F.array_position(F.array(*map(F.lit, LETTERS)), token).cast("int")
     candidates = pages.where(F.col("url").startswith(root + "/brands?letter="))
-    links = newest(link_arrays(candidates, ("/brands/", "/brand/")))
+    links = link_arrays(current(candidates), ("/brands/", "/brand/"))
     listed = links.select("url", token_no.alias("token_no"), token.alias("token"), page.alias("page"), "links")
     # only addresses in the exact form a reader would ask for
     asked = listed.where(

@@ -325,6 +325,7 @@ def _node_columns() -> dict[str, Column]:
         "count_infinite": jsonld.rating_count_infinite(node),
         "categories": jsonld.categories(node),
         "payload": jsonld.ingredient_payload(node),
+        "unread": F.col("json_ld").isNotNull() & F.col("node").isNull(),
     }
 
 
@@ -382,6 +383,7 @@ def _product_columns() -> dict[str, Column]:
             F.col("node_error"),
             F.when(F.col("count_infinite"), F.lit(jsonld.COUNT_ERROR)),
             F.when(F.col("name_failed"), F.lit(jsonld.NAME_ERROR)),
+            F.when(F.col("unread"), F.lit(jsonld.UNREAD_ERROR)),
         ),
     }
 

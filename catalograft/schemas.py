@@ -18,8 +18,10 @@ PRODUCT_INGREDIENTS = (
     "product_id bigint, position int, ingredient_url string, ingredient_name string, "
     "extra map<string,string>"
 )
+EXTRACT_FAILURES = "url string, page_id bigint, error string, seen_at timestamp_ntz"
 TABLES = {
     "brands": BRANDS,
     "products": PRODUCTS,
     "product_ingredients": PRODUCT_INGREDIENTS,
+    "extract_failures": EXTRACT_FAILURES,
 }

@@ -22,23 +22,27 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 def _charset_decoder():
     def decode_bytes(body: pd.Series, charset: pd.Series) -> pd.Series:
         return pd.Series(
-            [
-                None if b is None else bytes(b).decode(c, errors="replace")
-                for b, c in zip(body, charset)
-            ],
+            [None if b is None else as_text(bytes(b), c) for b, c in zip(body, charset)],
             dtype="object",
         )
 
+    def as_text(body: bytes, charset: str) -> str | None:
+        try:
+            return body.decode(charset, errors="replace")
+        except (LookupError, ValueError):  # no such charset, or none for text
+            return None
+
     return decode_bytes
 
 
 def decode_body(body: Column, charset: Column) -> Column:
     """Body bytes as text; bad bytes become U+FFFD; the default charset is UTF-8.
 
-    UTF-8 stays in the JVM; bodies in another charset go through an Arrow helper.
+    UTF-8 stays in the JVM; bodies in another charset go through an Arrow helper. A body in
+    an unknown charset is null, like a failed fetch.
     """
     name = F.lower(F.coalesce(F.nullif(charset, F.lit("")), F.lit("utf-8")))
-    is_utf8 = name.isin("utf-8", "utf8", "us-ascii")
+    is_utf8 = name.isin("utf-8", "utf8")
     decode_other = F.pandas_udf(_charset_decoder(), "string")
     return F.coalesce(
         F.when(is_utf8, F.make_valid_utf8(body.cast("string"))),
@@ -55,25 +59,23 @@ def decode_captures(captures: DataFrame) -> DataFrame:
     return captures.select("page_id", "url", html.alias("html"))
 
 
-def newest(captures: DataFrame) -> DataFrame:
-    """One row per url: the capture with the highest page_id.
+def current(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """The capture that counts for each address (of `urls`, if given): the newest, if it has a body.
 
-    Runs as a partial aggregate first, so many copies of one page meet only as one
-    row per task. Use it after extraction, where rows no longer carry html.
+    A newest capture without body means that the page is missing, whatever was captured
+    before. The choice is made on narrow columns; bodies are then joined by address
+    and page_id, a key no two captures share, so copies of one page do not meet in one
+    task and only bodies that count go on to be parsed.
     """
-    rest = [c for c in captures.columns if c != "url"]
-    best = F.max_by(F.struct(*rest), F.col("page_id")).alias("best")
-    return captures.groupBy("url").agg(best).select("url", *(f"best.{c}" for c in rest))
+    narrow = pages.select("url", "page_id")
+    if urls is not None:
+        narrow = narrow.join(urls.select("url").distinct(), "url", "left_semi")
+    chosen = narrow.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    counted = pages.join(chosen, ["url", "page_id"], "left_semi").select(pages.columns)
+    return counted.where(F.col("html").isNotNull())
 
 
 def lookup_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """`urls` with page_id, html and `found`; a page without body is not found.
-
-    The newest capture of each address is chosen on narrow columns first. The bodies
-    are then joined by address and page_id, a key no two captures share, so copies of
-    one page do not meet in one task and only wanted bodies can match.
-    """
-    chosen = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
-    wanted = urls.select("url").distinct().join(chosen, "url")
-    bodies = pages.select("url", "page_id", "html").join(wanted, ["url", "page_id"], "left_semi")
+    """`urls` with page_id, html and `found`; a page without body is not found."""
+    bodies = current(pages.select("url", "page_id", "html"), urls)
     return urls.join(bodies, "url", "left").withColumn("found", F.col("html").isNotNull())

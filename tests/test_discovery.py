@@ -147,3 +147,36 @@ def test_auto_keeps_the_sitemap_position(spark):
     assert [(r["url"].removeprefix(B), r["source"]) for r in rows] == [
         ("/products/1", "sitemap"), ("/products/2", "sitemap"), ("/products/3", "brands")
     ]
+
+
+FORMS = {
+    "prefix": f'<sm:urlset xmlns:sm="{NS}"><sm:url><sm:loc> {B}/products/1 </sm:loc></sm:url></sm:urlset>',
+    "doctype": f'<!DOCTYPE urlset><urlset xmlns="{NS}"><url><loc>{B}/products/1</loc></url></urlset>',
+    "mark": f'\ufeff<?xml version="1.0"?><urlset xmlns="{NS}"><url><loc>{B}/products/1</loc></url></urlset>',
+    "after": f'<urlset xmlns="{NS}"><url><loc>{B}/products/1</loc></url></urlset><?done yes?><!-- end -->',
+    "deep": f'<urlset xmlns="{NS}"><a><b><url><loc>{B}/products/1</loc></url></b></a></urlset>',
+    "reference": f'<urlset xmlns="{NS}"><url><loc>{B}/products/1?a=1&amp;b=2</loc></url></urlset>',
+}
+BAD = {
+    "case": f'<urlset xmlns="{NS}"><url><LOC>{B}/products/1</LOC></url></urlset>',
+    "text after": f'<urlset xmlns="{NS}"><url><loc>{B}/products/1</loc></url></urlset>x',
+    "cut": f'<urlset xmlns="{NS}"><url><loc>{B}/products/1</loc></url>',
+    "other namespace": f'<urlset xmlns="{NS}x"><url><loc>{B}/products/1</loc></url></urlset>',
+}
+
+
+def test_forms_of_sitemaps(spark):
+    docs = spark.createDataFrame([*FORMS.items(), *BAD.items(), ("null", None)], "url string, html string")
+    got = {r["url"]: r["locs"] for r in sitemaps.sitemap_locs(docs).collect()}
+    assert {u for u, locs in got.items() if locs} == set(FORMS)
+    assert got["prefix"] == [f"{B}/products/1"] and got["reference"] == [f"{B}/products/1?a=1&b=2"]
+
+
+def test_numbers_of_listings_too_large(spark):
+    rows = [
+        (1, B + "/brands?letter=a", '<a href="/brand/x">X</a>'), (2, B + "/brands?letter=a&page=99999999999", '<a href="/brand/y">Y</a>'),
+        (3, B + "/brands?offset=0", '<a href="/brand/x">X</a>'), (4, B + "/brands?offset=" + "1" * 40, '<a href="/brand/y">Y</a>'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert [r["url"] for r in directory.brand_letters(pages, B).collect()] == [B + "/brand/x"]
+    assert [r["url"] for r in directory.brand_directory(pages, B).collect()] == [B + "/brand/x"]

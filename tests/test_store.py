@@ -187,7 +187,61 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, site, tmp_path):
     rows = stored(store)
     assert sorted(rows) == ["2", "3", "4", "5"]
     assert [i["name"] for i in rows["5"]["ingredients"]] == ["Water", "I5"]
-    assert store.last_batch("ingest") == 1
+    # a page that arrives with a new progress folder is saved, one under another path too
+    new = [(50, f"{B}/products/50", "<h1>P50</h1>"), (51, f"{B}/fr/products/51", "<h1>P51</h1>"), (52, f"{B}/products/52", "<script type>x</script>")]
+    spark.createDataFrame(new, "page_id bigint, url string, html string").write.mode("append").parquet(folder)
+    source = stream_pages(spark, folder, files_per_batch=100)
+    query = ingest_stream(source, store, B, str(tmp_path / "p3"), lambda: T1)
+    query.awaitTermination()
+    assert sorted(stored(store)) == ["2", "3", "4", "5", "50", "51"]
+    assert store.last_batch(f"ingest:{query.id}") == 0
+    failures = {r["url"].rsplit("/", 1)[1] for r in store.read("extract_failures").collect()}
+    assert failures == {"1", "52"}
+
+
+def test_jobs_report_and_quarantine(spark, site, tmp_path):
+    store = CatalogStore(spark, str(tmp_path))
+    first = jobs.run(store, site, B, T1)
+    assert (first.inserted, first.queued, first.stored, first.failed) == (7, 5, 3, 1)
+    row = store.read("extract_failures").first()
+    assert (row["url"], row["seen_at"]) == (f"{B}/products/1", T1S) and row["error"]
+    second = jobs.run(store, site, B, T1, strategy="sitemap")
+    assert (second.stored, second.failed) == (1, 1) and store.read("extract_failures").count() == 1
+
+
+def test_newest_capture_without_body_means_missing(spark, site, tmp_path):
+    lost = spark.createDataFrame([(1_000, f"{B}/products/2", None), (1_001, f"{B}/products/3", "<h1>newer</h1>")], "page_id bigint, url string, html string")
+    store = CatalogStore(spark, str(tmp_path))
+    jobs.run(store, site.unionByName(lost), B, T1, strategy="sitemap")
+    rows = stored(store)
+    assert sorted(rows) == ["3", "4", "5"] and rows["3"]["name"] == "newer"
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path))
+    one, other = store.begin(), store.begin()
+    one.write("brands", spark.createDataFrame([(1, "A", "u", T0, None)], BRANDS))
+    other.write("brands", spark.createDataFrame([(2, "B", "v", T0, None)], BRANDS))
+    one.commit()
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        other.commit()
+    assert [r["name"] for r in store.read("brands").collect()] == ["A"]
+
+
+def test_unknown_charsets_and_ascii(spark):
+    captures = spark.createDataFrame(
+        [(1, "a", 200, b"x", "no-such"), (2, "b", 200, b"x", "base64"), (3, "c", 200, b"a\xc3\xa9", "US-ASCII")],
+        "page_id bigint, url string, status int, body binary, charset string",
+    )
+    assert [r["html"] for r in decode_captures(captures).orderBy("page_id").collect()] == [None, None, "a\ufffd\ufffd"]
+
+
+def test_rosters_with_equal_and_missing_positions(spark):
+    products = spark.createDataFrame([product(1, "/p", scraped=T0)], PRODUCTS)
+    rows = [(1, None if i % 7 == 0 else i % 5, f"u{i}", f"n{i}", None) for i in range(400)]
+    found = queues.read_products(products, spark.createDataFrame(rows, PRODUCT_INGREDIENTS)).first()["ingredients"]
+    positions = [i["position"] for i in found]
+    assert len(positions) == 400 and positions == sorted(positions, key=lambda p: (p is None, p or 0))
 
 
 def test_uncommitted_version_is_invisible(spark, tmp_path):
