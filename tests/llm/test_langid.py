@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalograft.llm import langid
 
@@ -11,7 +12,7 @@ def net(documents):
 
 def test_held_out_accuracy(spark, net):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    judged = langid.identify(docs, net).where(langid.held_out(docs["doc_id"]))
+    judged = langid.identify(docs, net).where(langid.held_out(F.col("doc_id")))
     right, total = judged.where("lang = lang_pred").count(), judged.where("lang is not null").count()
     assert total > 200 and right >= 0.97 * total
 
