@@ -49,16 +49,16 @@ def test_directory_ends_before_missing_page(spark):
     assert names(directory.brand_directory(make_pages(spark, site), B)) == []
 
 
-def read_letters(site):
-    """Reading order on a small site: dict of (token_no, page) -> list of brands."""
-    known, order = set(), []
-    for token_no in range(1, len(directory.LETTERS) + 1):
-        page = 1
-        while fresh := [b for b in site.get((token_no, page), []) if b not in known]:
-            known.update(fresh)
-            order += [(b, token_no, page) for b in dict.fromkeys(fresh)]
-            page += 1
-    return sorted(order)
+def first_spots(site):
+    """By the prefix rule: a page counts if the one before it does and it lists a brand no
+    earlier page that counts lists. A brand belongs to the first page that counts."""
+    counts = []
+    for token_no, page in sorted(site):
+        before = {b for spot in counts for b in site[spot]}
+        if (page == 1 or (token_no, page - 1) in counts) and set(site[token_no, page]) - before:
+            counts.append((token_no, page))
+    brands = {b for spot in counts for b in site[spot]}
+    return sorted((b, *min(spot for spot in counts if b in site[spot])) for b in brands)
 
 
 def test_letters_match_sequential_reading(spark):
@@ -78,21 +78,27 @@ def test_letters_match_sequential_reading(spark):
             },
         )
         got = directory.brand_letters(pages, B).collect()
-        assert sorted((r["url"].removeprefix(B), r["token_no"], r["page"]) for r in got) == read_letters(site)
-
-
-def walk(start, site):
-    queue, seen, found = [start], set(), {}
-    while queue:
-        url = queue.pop(0)
-        if url in seen:
-            continue
-        seen.add(url)
-        products, following = site.get(url, ([], []))
-        for href, name in products:
-            found.setdefault(href, name)
-        queue += [start.split("?")[0] + ref for ref in following]
-    return list(found.items())
+        assert sorted((r["url"].removeprefix(B), r["token_no"], r["page"]) for r in got) == first_spots(site)
+
+
+def by_distance(start, site):
+    """Products in order of their page's shortest path of link positions, the least if several."""
+    paths = {start: ()}
+    while True:
+        steps = [
+            (start.split("?")[0] + ref, (*path, pos))
+            for url, path in paths.items()
+            for pos, ref in enumerate(site.get(url, ([], []))[1])
+        ]
+        best = {}
+        for url, path in [*paths.items(), *steps]:
+            best[url] = min(path, best.get(url, path), key=lambda p: (len(p), p))
+        if best == paths:
+            break
+        paths = best
+    mentions = [m for url in sorted(paths, key=lambda u: (len(paths[u]), paths[u])) for m in site.get(url, ([], []))[0]]
+    first_names = dict(reversed(mentions))
+    return [(href, first_names[href]) for href in dict.fromkeys(href for href, _ in mentions)]
 
 
 def test_brand_walk_matches_queue_order(spark):
@@ -117,7 +123,7 @@ def test_brand_walk_matches_queue_order(spark):
     got = {i: [] for i in range(len(starts))}
     for r in brand_products(brands, pages, B, under=f"{B}/brand").orderBy("brand_id", "level", "rank", "pos").collect():
         got[r["brand_id"]].append((r["url"].removeprefix(B), r["name"]))
-    assert got == {i: walk(s, site) for i, s in enumerate(starts)}
+    assert got == {i: by_distance(s, site) for i, s in enumerate(starts)}
 
 
 def sitemap_site():
