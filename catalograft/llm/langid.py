@@ -189,10 +189,7 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS, words: int = FIT_WORDS) -> Ne
     """Train on rows (doc_id, text, lang): `docs` documents of each language, those of smallest
     hash, and `words` words of each, drawn from the whole text. None without usable rows."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_last())
-    picked = (
-        labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs)
-    )
+    picked = _first_of_each(labelled.select("doc_id", "lang"), ["doc_id"], docs)
     # at most `docs` ids of a language
     texts = labelled.join(F.broadcast(picked.select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))),
                           F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l")), "left_semi")
@@ -208,13 +205,26 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS, words: int = FIT_WORDS) -> Ne
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(drawn, pa.binary())], ["lang", "words"])
 
     # repeated ids can bring more rows than ids
-    again = Window.partitionBy("lang").orderBy(F.xxhash64("words"), "words")
     drawn = texts.select("text", "lang").mapInArrow(draw, "lang string, words binary")
-    kept = drawn.withColumn("place", F.row_number().over(again)).where(F.col("place") <= docs).select("lang", "words").collect()
+    kept = _first_of_each(drawn, ["words"], docs).select("lang", "words").collect()
     ready = [(r["lang"], bytes(r["words"]).split()) for r in sorted(kept, key=lambda r: (r["lang"], bytes(r["words"])))]
     return Network.train(ready) if any(found for _, found in ready) else None
 
 
+def _first_of_each(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """At most `most` rows of each language, those of smallest hash.
+
+    First of each of 64 shares of a language, then of those, so that one task never
+    gets more than 64 times `most` rows, however many hold the same language.
+    """
+    hashed = rows.withColumn("__h", F.xxhash64(*by))
+    for shares in (64, 1):
+        share = F.pmod("__h", F.lit(shares))
+        order = Window.partitionBy("lang", share).orderBy("__h", *(F.col(c).asc_nulls_last() for c in by))
+        hashed = hashed.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    return hashed.drop("__h", "__n")
+
+
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """All rows (every column) plus lang_pred and lang_score.
 
