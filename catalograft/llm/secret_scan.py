@@ -13,11 +13,13 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Parts that mean nothing alone: who logs in, where, and a key-like word without a name.
-IDENTITY = r"(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]+"
+IDENTITY = r"(?i:(?:\b|(?<=_))(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]+"
 ENDPOINT = r"(?i:\b(?:https?|ftp|ssh|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+|\b[a-z0-9.-]+\.amazonaws\.com\b)"
-KEYLIKE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
+KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
 #: Order of the kinds in results.
 KINDS = ("assign", "access", "hex", "identity", "endpoint", "keylike")
+#: While parts are linked: a key-like word right after '=', which may stand in an endpoint's query.
+VALUE = len(KINDS)
 #: Parts link when at most so many characters lie between them.
 SCOPE = 200
 
@@ -34,13 +36,14 @@ def _matches(text: str, pattern: str, kind: str, keep: Column | None = None) ->
     def spans(pair: Column) -> Column:
         gaps, hits = pair["gaps"], pair["hits"]
         begin = F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")
+            F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:boolean>>").alias("spans")
         )
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + F.length(x["gaps"])
             stop = start + F.length(x["hits"])
-            one = F.struct(start.alias("start"), stop.alias("stop"))
+            value = F.endswith(x["gaps"], F.lit("="))
+            one = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"))
             return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
         zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gaps"), hits.alias("hits"))
@@ -55,10 +58,13 @@ def _matches(text: str, pattern: str, kind: str, keep: Column | None = None) ->
         good = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)), lambda v: F.length(v) >= 6)
         both = F.arrays_zip(all_spans.alias("span"), good.alias("good"))
         all_spans = F.transform(F.filter(both, lambda x: x["good"]), lambda x: x["span"])
-    named = F.transform(
-        all_spans,
-        lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["stop"].alias("stop")),
-    )
+    number = F.lit(KINDS.index(kind))
+
+    def name(s: Column) -> Column:
+        of = F.when(s["value"], F.lit(VALUE)).otherwise(number) if kind == "keylike" else number
+        return F.struct(s["start"].alias("start"), of.alias("kind"), s["stop"].alias("stop"))
+
+    named = F.transform(all_spans, name)
     return F.when(F.col(text).rlike(pattern), named).otherwise(
         F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     )
@@ -84,7 +90,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     reported. A weak part (a key-like word, an identity or an endpoint) is reported only when
     complementary parts lie within `scope` characters: a key-like word with an identifier
     (access or identity) or an endpoint, an identity or endpoint with a secret (assign, hex or
-    a key-like word). Parts are joined as intervals: each is put in every bucket of `scope`
+    a key-like word). Parts must not overlap, but a value in an endpoint's own query counts.
+    Parts are joined as intervals: each is put in every bucket of `scope`
     characters its reach touches, so a text with very many parts is split over buckets.
 
     Null text: no spans. Empty table: no rows. Repeated rows (also of a null doc_id) are the
@@ -133,7 +140,7 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     access, hexes, assign = KINDS.index("access"), KINDS.index("hex"), KINDS.index("assign")
     identity, endpoint, keylike = map(KINDS.index, ("identity", "endpoint", "keylike"))
     reach = F.expr(f"explode(sequence((start - {scope}) div {scope} - 1, (stop + {scope}) div {scope} + 1))")
-    left = parts.where(F.col("kind").isin(identity, endpoint, keylike)).select("*", reach.alias("bucket"))
+    left = parts.where(F.col("kind").isin(identity, endpoint, keylike, VALUE)).select("*", reach.alias("bucket"))
     right = (
         parts.select(
             F.col("__key").alias("k"), F.col("start").alias("s"), F.col("stop").alias("e"),
@@ -142,13 +149,16 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
         )
     )
     fits = (
-        (F.col("kind") == keylike) & F.col("other").isin(access, identity, endpoint)
-    ) | (F.col("kind").isin(identity, endpoint) & F.col("other").isin(assign, hexes, keylike))
+        F.col("kind").isin(keylike, VALUE) & F.col("other").isin(access, identity, endpoint)
+    ) | (F.col("kind").isin(identity, endpoint) & F.col("other").isin(assign, hexes, keylike, VALUE))
     near = (F.col("s") <= F.col("stop") + scope) & (F.col("e") >= F.col("start") - scope)
     same = (F.col("__key") == F.col("k")) & (F.col("bucket") == F.col("at"))
     apart = (F.col("e") <= F.col("start")) | (F.col("s") >= F.col("stop"))
+    # apart fails only for parts that overlap: then the value lies in the endpoint
+    query = ((F.col("kind") == VALUE) & (F.col("other") == endpoint)) | ((F.col("kind") == endpoint) & (F.col("other") == VALUE))
+    kind = F.when(F.col("kind") == VALUE, keylike).otherwise(F.col("kind")).alias("kind")
     # semi join: no row per pair
-    return left.join(right, same & fits & near & apart, "left_semi").select("__key", "start", "kind", "stop").distinct()
+    return left.join(right, same & fits & near & (apart | query), "left_semi").select("__key", "start", kind, "stop").distinct()
 
 
 def digest(scanned: DataFrame) -> DataFrame:
