@@ -68,19 +68,6 @@ def _shingles(text: Column) -> Column:
     return bind(words, hashes)
 
 
-def _constants(n: int) -> list[int]:
-    """Constants whose leading bits run through all patterns, so that the smallest of hashes
-    xor constant visits every branch of the hashes' leading bits."""
-    bits = max(n - 1, 1).bit_length()
-    rest = 0x9E3779B97F4A7C15
-    out = []
-    for i in range(n):
-        rest = rest * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
-        value = i << (64 - bits) | rest >> bits
-        out.append(value - (1 << 64) if value >> 63 else value)
-    return out
-
-
 def bands_for(least_shingles: int, width: int = WIDTH, miss: float = 0.01) -> int:
     """Bands so that a window that holds `least_shingles` of a template misses it with
     probability at most `miss`. A band is one minimum."""
@@ -88,17 +75,34 @@ def bands_for(least_shingles: int, width: int = WIDTH, miss: float = 0.01) -> in
     return 1 if share == 1 else math.ceil(math.log(miss) / math.log(1 - share))
 
 
+def _bands_of(shortest: int, least: float, width: int) -> int:
+    """Bands for templates of at least `shortest` shingles of which a text holds the share `least`.
+
+    However the m shingles held lie in the windows, a band misses them all with probability
+    at most (width - 1) / (width - 1 + m): each misses only if one of the width - 1 others
+    of its window is smaller, and that is likeliest when all windows share those others.
+    """
+    held = max(math.ceil(least * shortest - 1e-9), 1)
+    return bands_for(held, held + width - 1)
+
+
 def _minima(hashes: Column, bands: int, width: int) -> Column:
-    """The distinct band minima of all windows of a text."""
+    """The distinct shingles that are the smallest of a window of a text by the hash of a band.
+
+    The bands hash shingle and band number, so they are independent. The last bits of the
+    hash give way to the place in the window, which names the shingle.
+    """
     step = max(width // 2, 1)
     starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - width + step, F.lit(1)), F.lit(step))
+    place = (1 << width.bit_length()) - 1
 
     def window(i: Column) -> Column:
         def least(part: Column) -> Column:
             def band(c: int) -> Column:
-                return F.array_min(F.transform(part, lambda h: h.bitwiseXOR(F.lit(c)))).bitwiseXOR(F.lit(c))
+                keys = F.transform(part, lambda h, j: F.xxhash64(h, F.lit(c)).bitwiseAND(F.lit(~place)).bitwiseOR(j.cast("long")))
+                return F.get(part, F.array_min(keys).bitwiseAND(F.lit(place)).cast("int"))
 
-            return F.array_distinct(F.array(*(band(c) for c in _constants(bands))))
+            return F.array_distinct(F.array(*map(band, range(bands))))
 
         return bind(F.slice(hashes, i, F.lit(width)), least)
 
@@ -116,8 +120,8 @@ def scan_licenses(
 
     In: doc_id, text; templates license_id, text (other columns are ignored). A text's shingles
     lie in windows of `width` that overlap by half. The minimum of each band of each window
-    retrieves templates; `bands_for` the shortest template sets their number, and as every
-    shingle lies in two windows both would have to miss. A retrieved template is verified: at
+    retrieves templates; their number follows from the shortest template, so that one a text
+    holds is missed with probability at most 0.01 wherever its shingles lie. A retrieved template is verified: at
     least `least` of its distinct shingles must occur in the text.
 
     The index of template shingles is broadcast in parts of at most MOST_ENTRIES entries, each
@@ -137,7 +141,7 @@ def scan_licenses(
     if sizes[0] is None:
         return text.select("doc_id", F.lit(None).cast("string").alias("license_id"), F.lit(0.0).alias("containment")).limit(0)
     parts = -(-sizes[0] // MOST_ENTRIES)
-    bands = bands_for(sizes[1], width)
+    bands = _bands_of(sizes[1], least, width)
     found = None
     for part in range(parts):
         some = shingled if parts == 1 else shingled.where(F.pmod(F.xxhash64("license_id", "shingles"), F.lit(parts)) == part)

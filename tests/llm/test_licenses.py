@@ -1,3 +1,5 @@
+import random
+
 import regex
 import pytest
 
@@ -63,6 +65,23 @@ def test_bands_keep_the_promise(shingles, bands):
     assert licenses.bands_for(shingles) == bands
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_recall_of_short_templates_anywhere(spark, make, n):
+    rng = random.Random(n)
+
+    def words(k):
+        return " ".join(f"w{rng.getrandbits(40)}" for _ in range(k))
+
+    notices = [words(n + 4) for _ in range(600)]
+    templates = spark.createDataFrame([(str(i), t) for i, t in enumerate(notices)], "license_id string, text string")
+    # both parities, and at the start and the end of a text
+    places = [(0, 9), (9, 0), (8, 9), (9, 9), (0, 0), (1, 1)]
+    docs = make(*((i, f"{words(before)} {t} {words(after)}") for i, t in enumerate(notices) for before, after in [places[i % 6]]))
+    got = {r["doc_id"] for r in licenses.scan_licenses(docs, templates).collect() if r["license_id"] == str(r["doc_id"])}
+    for k in range(6):
+        assert sum(i % 6 == k for i in got) >= 97, places[k]
+
+
 def test_plan_has_no_python(make):
     plan = licenses.scan_licenses(make((1, "a b c d e f")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
