@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 FIT_PAGES, FIT_BLOCKS = 400, 200
 
 #: Elements whose content is no text of the page.
-_SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
+_SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
 _RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
+#: What may stand in a head; anything else ends one that is open.
+_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "head"}
 #: Elements that, like those, do not end a block.
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input", "br", "td", "th", "picture", "source", "o:p"}
+_INLINE |= {"math", "semantics", "annotation", "annotation-xml", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_SPACE = {"br", "td", "th", "img", "input"}
+_SPACE = {"br", "td", "th", "img", "input", "mtd"}
 #: An element that opens ends these, up to the nearest of the limits.
 _ENDS = {
     "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
@@ -99,6 +102,8 @@ def blocks_of(page: str) -> list[Block]:
             data, after = page[at:], len(page)
         else:
             data, after = page[at : m.start()], m.end()
+        if stack and stack[-1][0] == "head" and data.strip():
+            pop_to(len(stack) - 1)
         if data and not silent:
             parts.append(data)
             if in_link:
@@ -122,6 +127,8 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[i]
                     break
             continue
+        if stack and stack[-1][0] == "head" and name not in _HEAD:
+            pop_to(len(stack) - 1)
         if name not in _INLINE and name not in _SILENT:
             close_block()
             for i in range(len(stack) - 1, -1, -1):

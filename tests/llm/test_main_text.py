@@ -70,3 +70,21 @@ def test_hard_rows(spark):
     got = main_text.extract(pages, main_text.fit(pages)).collect()
     assert len(got) == 6 and {r["main_text"] for r in got if not r["html"]} == {""}
     assert main_text.extract(pages.where("page_id = 0"), main_text.fit(pages.where("page_id = 0"))).count() == 0
+
+
+@pytest.mark.parametrize("after", ["<body>", "<body><article>", "<article>", "<div>", "<p>", "<b>x</b> ", "text ", "<svg></svg>"])
+def test_pages_that_leave_the_head_open(after):
+    start = "<html><head><meta charset=utf-8><title>t</title><link rel=a><style>p{}</style><template><p>no</p></template>\n"
+    wanted = [b.text for b in blocks_of(start + "</head>" + after + "The text.<p>More.")]
+    assert [b.text for b in blocks_of(start + after + "The text.<p>More.")] == wanted
+    assert " ".join(wanted).endswith("The text. More.") and "no" not in wanted
+
+
+def test_page_without_head_end_keeps_its_article():
+    page = PAGE.replace("<html>", "<html><head><title>t</title>") % ("article", "article")
+    assert text_of(page) == WANTED
+
+
+def test_formulas_stay_in_their_paragraph():
+    page = "<p>Let <math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac></mrow></math> hold.</p>"
+    assert [b.text for b in blocks_of(page)] == ["Let x=1y hold."]
