@@ -43,15 +43,30 @@ class Encoder:
 
     The ids equal those of the tokenizers library for the same file. A text is cut before
     each space that starts a token, and a chunk met before is looked up instead of encoded.
+    With `special`, a special token's string in a text is that token, as in the library by default:
+    such texts are encoded by the library. Without, it is ordinary text.
     """
 
     _known: dict[str, tuple] = {}
+    _libraries: dict[str, tuple] = {}
     _inside = re.compile(r" (?<=\s )(?:\s|\Z)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         if path not in self._known:
             self._known[path] = (self._encoding(path), {})
         self.encode, self.chunks = self._known[path]
+        self.special: list[str] = []
+        if special:
+            if path not in self._libraries:
+                self._libraries[path] = self._library(path)
+            self.library, self.special = self._libraries[path]
+
+    @staticmethod
+    def _library(path: str) -> tuple:
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        return library, [t.content for t in library.get_added_tokens_decoder().values()]
 
     @staticmethod
     def _encoding(path: str):
@@ -78,6 +93,9 @@ class Encoder:
         encode, chunks = self.encode, self.chunks
         out = []
         for text in texts:
+            if any(token in text for token in self.special):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             if self._inside.search(text):  # a space within a run of white space starts no token
                 out.append(encode(text))
                 continue
@@ -169,6 +187,7 @@ def pack(
     length: int = LENGTH,
     most_open: int = OPEN,
     most_padding: int = MOST_PADDING,
+    special: bool = False,
 ) -> DataFrame:
     """Pieces of documents, each with its place in a sequence of at most `length` ids.
 
@@ -179,6 +198,8 @@ def pack(
     gap exceeds `most_padding`. Windows left at a task's end are merged by rounds: each
     task of a round gets those of `FAN` tasks of the one before and keeps less than one.
 
+    With `special`, the string of a special token is that token, else ordinary text.
+
     Null or empty text: only the end id. Texts over `length` ids: full sequences first. A
     repeated row is packed again. Null doc_id: stays null. No rows: no rows.
     """
@@ -186,7 +207,7 @@ def pack(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, special)
         packer = Packer(task << 28, length, most_padding, most_open)
         for batch in batches:
             for ids, texts in _sliced(batch):

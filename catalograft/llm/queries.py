@@ -38,7 +38,7 @@ def op5_language_id(spark, sf_dir):
 def op6_packing(spark, sf_dir):
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 def op7_secret_scans(spark, sf_dir):

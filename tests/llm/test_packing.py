@@ -26,6 +26,18 @@ def test_ids_equal_those_of_the_library(documents):
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(PATH)(texts)] == [ids_of(t).tolist() for t in texts]
 
 
+def test_special_strings_as_the_unchanged_library(make):
+    library = Tokenizer.from_file(PATH)
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "a<|endoftext|>b  c\n", "<|endoftext| >"]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(PATH, special=True)(texts)] == wanted
+    assert wanted[len(ODD)] == [64, 220, 50256, 275]
+    pieces = packing.pack(make(*enumerate(texts)), PATH, special=True).collect()
+    for p in pieces:
+        ids = np.array([*wanted[p["doc_id"]], 1], "<u4")
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+
+
 def check(pieces, docs, length, most_pad=None):
     whole = {}
     for doc_id, text in docs:
