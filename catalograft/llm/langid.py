@@ -83,6 +83,7 @@ class Network:
     forward: Direction
     backward: Direction
     out: np.ndarray  # (2h + 1, languages), the last row is the bias
+    letters: str = ""  # those of the words learned from, small and capital
 
     @classmethod
     def train(cls, words: list[tuple[str, list[bytes]]], seed: int = 11) -> Network:
@@ -208,7 +209,24 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS, words: int = FIT_WORDS) -> Ne
     drawn = texts.select("text", "lang").mapInArrow(draw, "lang string, words binary")
     kept = _first_of_each(drawn, ["words"], docs).select("lang", "words").collect()
     ready = [(r["lang"], bytes(r["words"]).split()) for r in sorted(kept, key=lambda r: (r["lang"], bytes(r["words"])))]
-    return Network.train(ready) if any(found for _, found in ready) else None
+    if not any(found for _, found in ready):
+        return None
+    net = Network.train(ready)
+    # a word may be cut within a letter
+    seen = set().union(*(set(w.decode("utf-8", "ignore")) for _, found in ready for w in found))
+    net.letters = "".join(sorted(c for c in {d for c in seen for d in c + c.lower() + c.upper()} if c.isalpha()))
+    return net
+
+
+def of_learned_letters(text: Column, net: Network | None, least: float = 0.5) -> Column:
+    """Whether at least the share `least` of the letters of a text are letters the network learned from.
+
+    Its probabilities sum to one whatever it reads, so a script it never met can score high.
+    """
+    rest = F.translate(text, net.letters if net else "", "")
+    foreign = F.length(F.regexp_replace(rest, r"\P{L}+", ""))
+    known = F.length(text) - F.length(rest)
+    return known >= least * (known + foreign)
 
 
 def _first_of_each(rows: DataFrame, by: list[str], most: int) -> DataFrame:

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from catalograft.llm import langid, mixing, packing, secret_scan, simhash
 from catalograft.session import checkpoint_dir
 
-#: A text is rejected when no language reaches this share of its positions' probability.
-LEAST_LANGUAGE = 0.25
+#: A text is rejected when no language's mean probability reaches so many times that of chance.
+LEAST_LANGUAGE = 1.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that is known; a missing language is filled in."""
-    judged = langid.identify(docs, langid.fit(docs))
-    good = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
+    net = langid.fit(docs)
+    judged = langid.identify(docs, net)
+    # one language alone always scores 1
+    least = min(LEAST_LANGUAGE / max(len(net.languages), 1), 0.99) if net else 0.0
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= least)
+    good = judged.where(sure & langid.of_learned_letters(F.col("text"), net))
     return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 

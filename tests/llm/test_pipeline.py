@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import corpus_pipeline
 from catalograft.llm.queries import ORACLES, QUERIES
 
@@ -23,6 +25,23 @@ def test_stages_in_order_on_hard_rows(spark, make, documents, tmp_path):
     assert ids["packing"] == ids["mixing"] <= ids["secrets"]
 
 
+def test_texts_of_an_unlearned_script_go(spark, make, documents):
+    foreign = [
+        "Мы живем в большом городе и каждый день ходим на работу. " * 4, "我们住在一个大城市里,每天去上班,因为人们都是这样做的。" * 6,
+        "Ζούμε σε μια μεγάλη πόλη και κάθε μέρα πηγαίνουμε στη δουλειά. " * 4, "نحن نعيش في مدينة كبيرة ونذهب إلى العمل كل يوم. " * 4,
+    ]
+    docs = documents.unionByName(make(*enumerate(foreign, 5_000)).select(documents.columns))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in documents.collect()}
+
+
+def test_texts_no_better_than_chance_go(spark, make, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.langid, "identify", lambda docs, net: docs.selectExpr("*", "'en' lang_pred", "cast(size as double) lang_score"))
+    monkeypatch.setattr(corpus_pipeline.langid, "fit", lambda docs: SimpleNamespace(languages=["de", "en", "es", "fr"], letters="ab"))
+    docs = make((1, "a", None, None, 1, "0.26"), (2, "a", None, None, 1, "0.9"))
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [2]
+
+
 def test_run_writes_all_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
