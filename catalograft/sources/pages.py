@@ -65,13 +65,15 @@ def current(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     A newest capture without body means that the page is missing, whatever was captured
     before. The choice is made on narrow columns; bodies are then joined by address
     and page_id, a key no two captures share, so copies of one page do not meet in one
-    task and only bodies that count go on to be parsed.
+    task and only bodies that count go on to be parsed. A null page_id is the oldest.
     """
     narrow = pages.select("url", "page_id")
     if urls is not None:
         narrow = narrow.join(urls.select("url").distinct(), "url", "left_semi")
     chosen = narrow.groupBy("url").agg(F.max("page_id").alias("page_id"))
-    counted = pages.join(chosen, ["url", "page_id"], "left_semi").select(pages.columns)
+    chosen = chosen.select(F.col("url").alias("__url"), F.col("page_id").alias("__page_id"))
+    same = (F.col("url") == F.col("__url")) & F.col("page_id").eqNullSafe(F.col("__page_id"))
+    counted = pages.join(chosen, same, "left_semi").select(pages.columns)
     return counted.where(F.col("html").isNotNull())
 
 

@@ -265,3 +265,9 @@ def test_fetch_log(spark):
     rows = spark.createDataFrame([("h", t, i) for i, t in enumerate(times)], "host string, ts timestamp, url int")
     gaps = {r["url"]: round(r["gap_seconds"], 3) for r in fetchlog.politeness_gaps(rows).collect()}
     assert gaps == {1: 0.5, 2: 0.7}
+
+
+def test_a_null_page_id_counts_if_it_is_the_only_capture(spark):
+    pages = spark.createDataFrame([(None, "a", "x"), (None, "b", "old"), (3, "b", "new"), (None, "c", None)], "page_id bigint, url string, html string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+    assert {r["url"]: r["html"] for r in lookup_pages(asked, pages).collect()} == {"a": "x", "b": "new", "c": None}
