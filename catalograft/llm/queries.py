@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalograft.llm import ann, embedding_dedup, katz, langid, licenses, main_text, mixing, packing, secret_scan, simhash
+from catalograft.llm import ann, collocations, embedding_dedup, katz, langid, licenses, main_text, mixing, packing, secret_scan, simhash
 from catalograft.llm.common import table
 
 
@@ -62,7 +62,11 @@ def op10_main_text(spark, sf_dir):
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_licenses, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text)}
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_licenses, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text, op11_collocations)}
 
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -133,5 +137,34 @@ WITH rows AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)))::BIGINT AS taken
 FROM epoch
+""",
+    "op11_collocations": """
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')), '[^ \\t]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents WHERE text IS NOT NULL)
+), sizes AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+      SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS sizes(k)))
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT g.lang, g.phrase, g.k, g.f AS a, c, l.f AS l, r.f AS r, s.n::BIGINT AS n,
+    ((1000::HUGEINT * g.f * s.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM grams WHERE k > 1) AS g
+  JOIN sizes AS s ON s.lang = g.lang
+  JOIN grams AS l ON l.lang = g.lang AND l.phrase = array_to_string(string_split(g.phrase, ' ')[1:c], ' ')
+  JOIN grams AS r ON r.lang = g.lang AND r.phrase = array_to_string(string_split(g.phrase, ' ')[c + 1:], ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM cuts
+), kept AS (
+  SELECT * FROM lowest AS g WHERE nth = 1 AND NOT EXISTS (
+    SELECT 1 FROM grams AS h WHERE h.lang = g.lang AND h.k > g.k AND 100 * h.f >= 100 * g.a
+      AND contains(' ' || h.phrase || ' ', ' ' || g.phrase || ' '))
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept)
+WHERE rank <= 2000
 """,
 }
