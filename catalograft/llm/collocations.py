@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalograft.llm.common import LOWER
+from catalograft.llm.common import LOWER, mix64
 from catalograft.session import checkpoint_dir, settle
 
 UNKNOWN = "und"
@@ -26,9 +27,21 @@ _BLOCK = 1 << 22
 #: Bytes that end a piece become a line feed, the space between words a blank.
 _ENDS = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else LOWER[b] for b in range(256))
 
+#: Words or grown phrases that meet in one bucket, about.
+BUCKET_ROWS = 1 << 20
+
 _SHARD = "shard string, lang string, words array<string>, counts array<long>, data binary"
-_INDEX = "shard string, codes binary, before binary, after binary"
-_FOUND = "shard string, prefix long, suffix long, in_text int, in_reverse int, n int"
+_INDEX = "shard string, lang string, codes binary, before binary, after binary"
+#: What travels between shards and buckets: kind `ask` to a bucket, `told` and `state` to a shard, `model` stays.
+_MAIL = (
+    "kind string, lang string, bucket long, shard string, data array<binary>, "
+    "ids array<long>, words array<string>, prefix array<long>, suffix array<long>, f array<long>"
+)
+_MAIL_KINDS = {
+    **dict.fromkeys(("kind", "lang", "shard"), pa.string()), "bucket": pa.int64(), "data": pa.list_(pa.binary()),
+    "words": pa.list_(pa.string()), **dict.fromkeys(("ids", "prefix", "suffix", "f"), pa.list_(pa.int64())),
+}
+_MAIL_ORDER = [c.split()[0] for c in _MAIL.split(", ")]
 
 
 class _Shard:
@@ -120,36 +133,88 @@ def transform(text: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each position, positions ordered by their first `depth` symbols: a
     Burrows-Wheeler transform in which patterns of up to `depth` symbols have an interval."""
     order = bounded_order(text, depth)
-    return np.where(order > 0, text[order - 1], 0)
+    return np.where(order > 0, text[order - 1], 0).astype(np.int64)
+
+
+def _mail(rows: list[dict]) -> pa.Table:
+    return pa.table({c: pa.array([r.get(c) for r in rows], _MAIL_KINDS[c]) for c in _MAIL_ORDER})
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes each; the first byte says how many."""
+    top = int(values.max()) if values.size else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+class Transform:
+    """A transform with what answers rank queries: its rows in the order of symbol, then row."""
+
+    def __init__(self, bwt: np.ndarray):
+        self.bwt = bwt.astype(np.int64)
+        narrow = bwt.astype(np.uint16) if bwt.size and bwt.max() < 1 << 16 else bwt  # sorted by radix
+        self.order = np.argsort(narrow, kind="stable")
+        self.keys = self.bwt[self.order] * (bwt.size + 1) + self.order
+
+    def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Rows that begin with a smaller symbol, and symbols of this kind before `row`."""
+        return np.searchsorted(self.keys, symbol * (self.bwt.size + 1) + row)
+
+    def moved(self) -> np.ndarray:
+        """By row: the row of the suffix that is one symbol longer."""
+        out = np.empty(self.order.size, np.int64)
+        out[self.order] = np.arange(self.order.size)
+        return out
 
 
 @dataclass
-class Intervals:
-    """Phrases by their intervals in the index of the text and in that of the reversed text."""
+class Phrases:
+    """Phrases of a shard that are frequent over all shards, by ascending id: their intervals in the
+    index of the text and in that of the reversed text, occurrences, first and last symbol."""
 
+    ids: np.ndarray
     text: np.ndarray
     reverse: np.ndarray
     size: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
     @classmethod
-    def of_words(cls, before: np.ndarray) -> Intervals:
-        """One symbol each; 0 is left out."""
-        counts = np.bincount(before)
+    def words(cls, codes: np.ndarray, bwt: np.ndarray) -> Phrases:
+        counts = np.bincount(bwt, minlength=codes.size + 1)
         start = (np.cumsum(counts) - counts)[1:]
-        return cls(start, start, counts[1:])
+        symbols = np.arange(1, codes.size + 1)
+        return cls(codes.astype(np.int64), start, start, counts[1:], symbols, symbols)
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.ids, self.text, self.reverse, self.size, self.first, self.last]
+
+    def joined(self, before: Transform, after: Transform, prefix: np.ndarray, suffix: np.ndarray, ids: np.ndarray) -> Phrases:
+        """The phrases one word longer with these prefixes and suffixes: a step of backward search in each index."""
+        p, s = np.searchsorted(self.ids, prefix), np.searchsorted(self.ids, suffix)
+        first, last = self.first[p], self.last[s]
+        reverse = after.step(last, self.reverse[p])
+        size = after.step(last, self.reverse[p] + self.size[p]) - reverse
+        order = np.argsort(ids)
+        grown = (ids, before.step(first, self.text[s]), reverse, size, first, last)
+        return Phrases(*(v[order] for v in grown))
 
 
-def extend(bwt: np.ndarray, here: np.ndarray, there: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All extensions of intervals by the symbol `bwt` holds: (parent, other, here, there, n).
+def extend(index: Transform, here: np.ndarray, there: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All extensions of intervals by the symbol the transform holds: (parent, other, here, there, n).
 
-    `here` are the starts in the index of `bwt` (the text's extends to the left, the reversed
+    `here` are the starts in this index (the text's extends to the left, the reversed
     text's to the right), `there` those in the other index, which stay in step: within an
     interval the extensions lie in the order of their symbols. `other` is the interval an extension
     falls into when its far end is cut off, -1 if that is none of those given.
     """
-    empty = np.zeros(0, np.int64)
     if not size.size:
-        return (empty,) * 5
+        return (np.zeros(0, np.int64),) * 5
+    bwt = index.bwt
     begin = np.cumsum(size) - size
     parent = np.repeat(np.arange(size.size), size)
     rows = np.arange(parent.size) + np.repeat(here - begin, size)
@@ -160,25 +225,124 @@ def extend(bwt: np.ndarray, here: np.ndarray, there: np.ndarray, size: np.ndarra
     first = np.minimum.reduceat(rows[order], at)
     up = parent[order[at]]
     beside = there[up] + at - begin[up]
-    symbol = bwt[first]
-    # the k-th symbol c of the transform is the k-th row that begins with c
-    moved = np.empty(bwt.size, np.int64)
-    narrow = bwt.astype(np.uint16) if bwt.max() < 1 << 16 else bwt  # sorted by radix
-    moved[np.argsort(narrow, kind="stable")] = np.arange(bwt.size)
     owner = np.full(bwt.size, -1, np.int64)
     owner[rows] = parent
-    start = moved[first]
-    on = symbol > 0
-    return up[on], owner[start[on]], start[on], beside[on], n[on]
-
-
-def _indexed(shard: pa.Table, frequent: pa.Table) -> pa.Table:
+    on = bwt[first] > 0
+    start = index.moved()[first[on]]
+    return up[on], owner[start], start, beside[on], n[on]
+
+
+def grown(before: Transform, after: Transform, known: Phrases, to_the_right: bool) -> tuple[np.ndarray, ...]:
+    """(prefix, suffix, n) of all phrases one word longer both of whose parts are known."""
+    if to_the_right:
+        up, other, *_, n = extend(after, known.reverse, known.text, known.size)
+        prefix, suffix = up, other
+    else:
+        up, other, *_, n = extend(before, known.text, known.reverse, known.size)
+        prefix, suffix = other, up
+    on = other >= 0
+    return known.ids[prefix[on]], known.ids[suffix[on]], n[on]
+
+
+def _asks(lang: str, shard: str, prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[dict]:
+    """Grown phrases to the buckets that sum them over all shards."""
+    home = (mix64(prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((suffix, prefix, home))
+    home, prefix, suffix, n = (v[order] for v in (home, prefix, suffix, n))
+    found, at = np.unique(home, return_index=True)
+    for bucket, s, e in zip(found.tolist(), at, np.append(at, home.size)[1:], strict=True):
+        data = [_packed(np.diff(prefix[s:e], prepend=0)), _packed(suffix[s:e]), _packed(n[s:e])]
+        yield {"kind": "ask", "lang": lang, "bucket": bucket, "shard": shard, "data": data}
+
+
+def _ask_words(buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                by_bucket: dict[int, list[int]] = {}
+                words = [w.encode() for w in row["words"]]
+                for i, word in enumerate(words):
+                    by_bucket.setdefault(zlib.crc32(word) % buckets, []).append(i)
+                counts = np.array(row["counts"], np.int64)
+                rows = [
+                    {"kind": "ask", "lang": row["lang"], "bucket": b, "shard": row["shard"],
+                     "data": [b"\n".join(words[i] for i in at), _packed(counts[at]), _packed(np.array(at) + 1)]}
+                    for b, at in by_bucket.items()
+                ]
+                yield from _mail(rows).to_batches()
+
+    return ask
+
+
+def _count_words(buckets: int, least: int):
+    def count(asked: pa.Table) -> pa.Table:
+        rows = asked.select(["lang", "bucket", "shard", "data"]).to_pylist()
+        lang, bucket = rows[0]["lang"], rows[0]["bucket"]
+        ids: dict[bytes, int] = {}
+        codes = []
+        for r in rows:
+            words = r["data"][0].split(b"\n")
+            for word in words:
+                ids.setdefault(word, len(ids))
+            codes.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        total = np.zeros(len(ids), np.int64)
+        for r, code in zip(rows, codes, strict=True):
+            total[code] += _unpacked(r["data"][1])
+        names = [w.decode() for w in ids]
+        # numbers of their own in every bucket
+        number = np.where(total >= least, (np.cumsum(total >= least) - 1) * buckets + bucket, -1)
+        kept = np.flatnonzero(number >= 0)
+        out = [{"kind": "model", "lang": lang, "ids": number[kept], "words": [names[i] for i in kept], "f": total[kept]}]
+        for r, code in zip(rows, codes, strict=True):
+            on = number[code] >= 0
+            if on.any():
+                out.append({"kind": "told", "shard": r["shard"], "data": [_packed(_unpacked(r["data"][2])[on]), _packed(number[code][on])]})
+        return _mail(out)
+
+    return count
+
+
+def _count_phrases(buckets: int, least: int):
+    def count(asked: pa.Table) -> pa.Table:
+        rows = asked.select(["lang", "bucket", "shard", "data"]).to_pylist()
+        lang, bucket = rows[0]["lang"], rows[0]["bucket"]
+        parts = [[_unpacked(d) for d in r["data"]] for r in rows]
+        prefix = np.concatenate([np.cumsum(p[0]) for p in parts])
+        suffix = np.concatenate([p[1] for p in parts])
+        n = np.concatenate([p[2] for p in parts])
+        wide = int(suffix.max()) + 1
+        if (int(prefix.max()) + 1) * wide < 1 << 63:
+            key = prefix * wide + suffix
+        else:
+            firsts, code = np.unique(prefix, return_inverse=True)
+            lasts, other = np.unique(suffix, return_inverse=True)
+            key = code * lasts.size + other
+        _, at, code = np.unique(key, return_index=True, return_inverse=True)
+        total = np.zeros(at.size, np.int64)
+        np.add.at(total, code, n)
+        number = np.where(total >= least, (np.cumsum(total >= least) - 1) * buckets + bucket, -1)
+        kept = np.flatnonzero(number >= 0)
+        model = {"ids": number[kept], "prefix": prefix[at[kept]], "suffix": suffix[at[kept]], "f": total[kept]}
+        out = [{"kind": "model", "lang": lang, **model}] if kept.size else []
+        told, begin = number[code], 0
+        for r, p in zip(rows, parts, strict=True):
+            here = np.arange(begin, begin + p[0].size)
+            here = here[told[here] >= 0]
+            begin += p[0].size
+            if here.size:
+                out.append({"kind": "told", "shard": r["shard"], "data": [_packed(v[here]) for v in (prefix, suffix, told)]})
+        return _mail(out)
+
+    return count
+
+
+def _indexed(shard: pa.Table, told: pa.Table) -> pa.Table:
     """Both transforms of a shard's text, rare words taken for ends of pieces."""
     rows = []
-    if shard.num_rows and frequent.num_rows:
+    if shard.num_rows and told.num_rows:
         data = np.frombuffer(shard.column("data")[0].as_py(), "<i4")
-        local = frequent.column("local").to_numpy()
-        ids = frequent.column("id").to_numpy()
+        answers = [[_unpacked(d) for d in a] for a in told.column("data").to_pylist()]
+        local, ids = (np.concatenate(v) for v in zip(*answers, strict=True))
         order = np.argsort(ids)
         code = np.zeros(int(max(data.max(), local.max())) + 1, np.int32)
         code[local[order]] = np.arange(1, order.size + 1)
@@ -192,123 +356,126 @@ def _indexed(shard: pa.Table, frequent: pa.Table) -> pa.Table:
         codes = ids[order][used[used > 0] - 1]
         text = np.searchsorted(used, text).astype(np.int32)
         if codes.size:
-            packed = [codes.astype("<i8"), transform(text, LONGEST).astype("<i4"), transform(text[::-1], LONGEST).astype("<i4")]
-            rows.append([shard.column("shard")[0].as_py(), *(p.tobytes() for p in packed)])
-    kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else ([],) * 4
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("shard", "codes", "before", "after"), columns, kinds, strict=True)})
-
-
-def _found(shard: str, prefix: np.ndarray, suffix: np.ndarray, text: np.ndarray, reverse: np.ndarray, n: np.ndarray) -> pa.Table:
-    return pa.table(
-        {
-            "shard": pa.array([shard] * n.size, pa.string()),
-            "prefix": prefix,
-            "suffix": suffix,
-            "in_text": text.astype(np.int32),
-            "in_reverse": reverse.astype(np.int32),
-            "n": n.astype(np.int32),
-        }
-    )
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two-word phrases of each shard: its words extended to the right."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            after, codes = np.frombuffer(row["after"], "<i4"), np.frombuffer(row["codes"], "<i8")
-            words = Intervals.of_words(after)
-            up, other, here, there, n = extend(after, words.reverse, words.text, words.size)
-            yield from _found(row["shard"], codes[up], codes[other], there, here, n).to_batches()
-
-
-def _longer(to_the_right: bool):
-    def grow(index: pa.Table, known: pa.Table) -> pa.Table:
-        if not index.num_rows or not known.num_rows:
-            empty = np.zeros(0, np.int64)
-            return _found("", empty, empty, empty, empty, empty)
-        ids, text, reverse, size = (known.column(c).to_numpy() for c in ("id", "in_text", "in_reverse", "n"))
-        here, there = (reverse, text) if to_the_right else (text, reverse)
-        bwt = np.frombuffer(index.column("bwt")[0].as_py(), "<i4")
-        here, there, size = (v.astype(np.int64) for v in (here, there, size))
-        up, other, here, there, n = extend(bwt, here, there, size)
-        on = other >= 0  # the other part is frequent as well
-        up, other, here, there, n = (v[on] for v in (up, other, here, there, n))
-        shard = index.column("shard")[0].as_py()
-        if to_the_right:
-            return _found(shard, ids[up], ids[other], there, here, n)
-        return _found(shard, ids[other], ids[up], here, there, n)
+            packed = [_packed(v) for v in (codes, transform(text, LONGEST), transform(text[::-1], LONGEST))]
+            rows.append([shard.column("shard")[0].as_py(), shard.column("lang")[0].as_py(), *packed])
+    names = ("shard", "lang", "codes", "before", "after")
+    kinds = (pa.string(), pa.string(), *[pa.binary()] * 3)
+    columns = zip(*rows, strict=True) if rows else ([],) * 5
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-    return grow
 
+def _pairs(buckets: int):
+    """Two-word phrases of each shard: its words extended to the right."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                after = Transform(_unpacked(row["after"]))
+                words = Phrases.words(_unpacked(row["codes"]), after.bwt)
+                found = grown(after, after, words, True)
+                yield from _mail(list(_asks(row["lang"], row["shard"], *found, buckets))).to_batches()
+
+    return ask
+
+
+def _longer(to_the_right: bool, buckets: int):
+    """From the phrases a shard knows and the answers about those one word longer: the latter, and
+    what grows of them by one more word."""
+
+    def grow(index: pa.Table, mail: pa.Table) -> pa.Table:
+        rows: list[dict] = []
+        told = [r["data"] for r in mail.to_pylist() if r["kind"] == "told"]
+        if index.num_rows and told:
+            one = index.to_pylist()[0]
+            before, after = Transform(_unpacked(one["before"])), Transform(_unpacked(one["after"]))
+            state = [r["data"] for r in mail.to_pylist() if r["kind"] == "state"]
+            shorter = Phrases(*map(_unpacked, state[0])) if state else Phrases.words(_unpacked(one["codes"]), after.bwt)
+            prefix, suffix, ids = (np.concatenate(v) for v in zip(*([_unpacked(d) for d in a] for a in told), strict=True))
+            known = shorter.joined(before, after, prefix, suffix, ids)
+            rows.append({"kind": "state", "shard": one["shard"], "data": [_packed(c) for c in known.columns()]})
+            rows += _asks(one["lang"], one["shard"], *grown(before, after, known, to_the_right), buckets)
+        return _mail(rows)
 
-def _summed(found: DataFrame, least: int) -> DataFrame:
-    """(id, prefix, suffix, f): phrases frequent over all shards. Both parts name a phrase."""
-    total = found.groupBy("prefix", "suffix").agg(F.sum(F.col("n").cast("long")).alias("f"))
-    return settle(total.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
+    return grow
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """(lang, phrase, words, f, firsts, rests, left, right): all phrases of 2 to LONGEST words
-    that occur `least` times in texts (text, lang) of their language.
+    """(lang, phrase, words, f, firsts, rests, left, right, n): all phrases of 2 to LONGEST words
+    that occur `least` times in texts (text, lang) of their language; n counts its words.
 
     firsts and rests hold, for each cut, the counts of the parts before and after it; left and
     right the largest count of the phrase with one more word on that side, null if that is rare.
 
     Each task's texts become shards of one language and about SHARD_WORDS words; their text moves
-    once, to join the ids of the words that are frequent over all shards. A shard is indexed in
+    once, to meet the ids of the words that are frequent over all shards. A shard is indexed in
     both directions; phrases grow by one word a round, on the right and the left in turn, from those
-    that are frequent over all shards, and only if both parts are. What travels per round is
-    a shard's distinct grown phrases with their intervals. So no task holds more than a shard, and
-    no count depends on how texts are dealt.
+    that are frequent over all shards, and only if both parts are. A round sends a shard's
+    distinct grown phrases to buckets, packed, which sum them over the shards and answer with those that are
+    frequent. So no task holds more than a shard or a bucket of about BUCKET_ROWS, and no
+    count depends on how texts are dealt.
 
     Null text: empty. Null lang: `und`. Very long texts: whole, in one shard. Repeated rows count
     each. No rows: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
-    shards = settle(texts.mapInArrow(_sharded, _SHARD))
-    vocabulary = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    vocabulary = vocabulary.select("shard", "lang", (F.col("at") + 1).alias("local"), "w.words", "w.counts")
-    total = vocabulary.groupBy("lang", "words").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-    words = settle(total.withColumn("id", F.monotonically_increasing_id()))
-
-    told = vocabulary.join(words.select("lang", "words", "id"), ["lang", "words"]).select(F.col("shard").alias("of"), "local", "id")
-    index = (
-        shards.select("shard", "data").groupBy("shard").cogroup(told.groupBy("of")).applyInArrow(_indexed, _INDEX)
-    )
-    # bucketed by shard: intervals travel to the index of their shard, which stays
     name = f"collocations_{uuid.uuid4().hex}"
     folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+
+    def posted(mail: DataFrame, step: str) -> DataFrame:
+        mail.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/{step}")
+        return spark.read.schema(_MAIL).parquet(f"{folder}/{step}")
+
+    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
+    shards = settle(texts.mapInArrow(_sharded, _SHARD))
+    in_shard = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = shards.agg(F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0))).first()[0]
+    buckets = max(-(-rows // BUCKET_ROWS), 1)
+    asked = shards.select("lang", "shard", "words", "counts").mapInArrow(_ask_words(buckets), _MAIL)
+    answers = posted(asked.groupBy("lang", "bucket").applyInArrow(_count_words(buckets, least), _MAIL), "words")
+    known = answers.where("kind = 'model'").select("lang", F.explode(F.arrays_zip("ids", "words", "f")).alias("w"))
+    known = known.select("lang", F.col("w.ids").alias("id"), F.col("w.words").alias("phrase"), F.col("w.words").alias("last"), "w.f")
+    none = F.array().cast("array<long>")
+    known = settle(known.withColumns({"firsts": none, "rests": none}))
+
+    told = answers.where("kind = 'told'").select(F.col("shard").alias("of"), "data")
+    index = shards.select("shard", "lang", "data").groupBy("shard").cogroup(told.groupBy("of")).applyInArrow(_indexed, _INDEX)
+    # bucketed by shard: answers travel to the index of their shard, which stays
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index.write.bucketBy(files, "shard").option("path", folder).option("compression", "zstd").saveAsTable(name)
+    index.write.bucketBy(files, "shard").option("path", f"{folder}/index").option("compression", "zstd").saveAsTable(name)
     index = spark.table(name)
 
-    parts = words.select("id", "lang", F.col("words").alias("phrase"), F.col("words").alias("last"), "f")
-    none = F.array().cast("array<long>")
-    parts = parts.withColumns({"firsts": none, "rests": none})
+    def wanted(known: DataFrame) -> int:
+        """Buckets for what grows: it has no more members than the phrases it grows from occurrences."""
+        return max(-(-(known.agg(F.sum("f")).first()[0] or 0) // BUCKET_ROWS), 1)
+
     levels = []
-    found = settle(index.select("shard", "codes", "after").mapInArrow(_pairs, _FOUND))
+    state = None
+    buckets = wanted(known)
+    asked = index.select("shard", "lang", "codes", "after").mapInArrow(_pairs(buckets), _MAIL)
     for size in range(2, LONGEST + 1):
-        summed = _summed(found, least)
-        before, after = ({f"{side}_{c}": c for c in parts.columns} for side in ("p", "s"))
-        joined = summed.join(parts.select(*(F.col(c).alias(n) for n, c in before.items())), F.col("prefix") == F.col("p_id"))
-        joined = joined.join(parts.select(*(F.col(c).alias(n) for n, c in after.items())), F.col("suffix") == F.col("s_id"))
-        parts = settle(
+        counted = asked.groupBy("lang", "bucket").applyInArrow(_count_phrases(buckets, least), _MAIL)
+        answers = posted(counted, f"counted{size}")
+        model = answers.where("kind = 'model'").select("lang", F.explode(F.arrays_zip("ids", "prefix", "suffix", "f")).alias("w"))
+        model = model.select("lang", F.col("w.ids").alias("id"), "w.prefix", "w.suffix", "w.f")
+        p, s = (known.select(*(F.col(c).alias(f"{side}_{c}") for c in known.columns)) for side in ("p", "s"))
+        joined = model.join(p, (F.col("lang") == F.col("p_lang")) & (F.col("prefix") == F.col("p_id")))
+        joined = joined.join(s, (F.col("lang") == F.col("s_lang")) & (F.col("suffix") == F.col("s_id")))
+        level = settle(
             joined.select(
-                "id", "prefix", "suffix", F.col("p_lang").alias("lang"),
-                F.concat_ws(" ", "p_phrase", "s_last").alias("phrase"), F.col("s_last").alias("last"), "f",
+                "lang", "id", "prefix", "suffix", F.concat_ws(" ", "p_phrase", "s_last").alias("phrase"), F.col("s_last").alias("last"), "f",
                 F.array_append("p_firsts", F.col("p_f")).alias("firsts"), F.array_prepend("s_rests", F.col("s_f")).alias("rests"),
             )
         )
-        levels.append((size, parts))
+        levels.append((size, level))
+        known = level.drop("prefix", "suffix")
         if size < LONGEST:
-            known = found.join(summed.select("prefix", "suffix", "id"), ["prefix", "suffix"])
-            known = known.select("shard", "id", "in_text", "in_reverse", "n")
-            right = size % 2 == 1
-            side = index.select("shard", F.col("after" if right else "before").alias("bwt"))
-            found = settle(side.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_longer(right), _FOUND))
-        parts = parts.drop("prefix", "suffix")
+            buckets = wanted(known)
+            mail = answers.where("kind = 'told'").select("kind", F.col("shard").alias("of"), "data")
+            mail = mail if state is None else mail.unionByName(state)
+            grow = _longer(size % 2 == 0, buckets)
+            out = posted(index.groupBy("shard").cogroup(mail.groupBy("of")).applyInArrow(grow, _MAIL), f"grown{size}")
+            asked = out.where("kind = 'ask'")
+            state = out.where("kind = 'state'").select("kind", F.col("shard").alias("of"), "data")
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files lie in the checkpoint folder
 
     out = None
@@ -318,13 +485,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
             if longer is None:
                 level = level.withColumn(side, F.lit(None).cast("long"))
                 continue
-            most = longer.groupBy(F.col(part).alias("k")).agg(F.max("f").alias(side))
-            level = level.join(most, F.col("id") == F.col("k"), "left").drop("k")
+            most = longer.groupBy(F.col("lang").alias("la"), F.col(part).alias("k")).agg(F.max("f").alias(side))
+            level = level.join(most, (F.col("lang") == F.col("la")) & (F.col("id") == F.col("k")), "left").drop("la", "k")
         level = level.select("lang", "phrase", "words", "f", "firsts", "rests", "left", "right")
         out = level if out is None else out.unionByName(level)
     # occurrences of all words of a language, rare ones too
-    sizes = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    return out.join(sizes, "lang")
+    return out.join(shards.groupBy("lang").agg(F.sum(in_shard).alias("n")), "lang")
 
 
 def _exact(c: Column) -> Column:

@@ -103,22 +103,19 @@ def test_bounded_order_and_both_directions():
         for i in range(len(text) - size + 1):
             if (text[i : i + size] > 0).all():
                 counts[tuple(int(x) for x in text[i : i + size])] += 1
-    before, after = c.transform(text, c.LONGEST), c.transform(text[::-1], c.LONGEST)
+    before, after = (c.Transform(c.transform(t, c.LONGEST)) for t in (text, text[::-1]))
     reverse = c.bounded_order(text[::-1], c.LONGEST)
-    words = c.Intervals.of_words(before)
-    names, at, back, size = [(i + 1,) for i in range(words.size.size)], words.text, words.reverse, words.size
+    known = c.Phrases.words(np.arange(4), after.bwt)
+    names = {i: (i + 1,) for i in range(4)}
     for level in range(2, c.LONGEST + 1):
-        right = level % 2 == 0
-        here, there = (back, at) if right else (at, back)
-        up, other, here, there, size = c.extend(after if right else before, here, there, size)
-        at, back = (there, here) if right else (here, there)
-        grown = []
-        for u, o, a, b in zip(up, other, at, back):
-            assert o >= 0
-            name = (*names[u], names[o][-1]) if right else (names[o][0], *names[u])
-            grown.append(name)
-            # both intervals belong to the same phrase
-            assert tuple(text[order[a] : order[a] + level]) == name
-            assert tuple(text[::-1][reverse[b] : reverse[b] + level][::-1]) == name
-        assert dict(zip(grown, size.tolist())) == {k: v for k, v in counts.items() if len(k) == level}
-        names = grown
+        found = [c.grown(before, after, known, right) for right in (True, False)]
+        assert sorted(zip(*(v.tolist() for v in found[0]))) == sorted(zip(*(v.tolist() for v in found[1])))
+        prefix, suffix, n = found[level % 2]
+        names = {i: (*names[p], names[s][-1]) for i, (p, s) in enumerate(zip(prefix.tolist(), suffix.tolist()))}
+        assert {names[i]: m for i, m in enumerate(n.tolist())} == {k: v for k, v in counts.items() if len(k) == level}
+        known = known.joined(before, after, prefix, suffix, np.arange(n.size))
+        assert known.size.tolist() == n.tolist()
+        # both intervals belong to the same phrase
+        for i, name in names.items():
+            assert tuple(text[order[known.text[i]] :][:level]) == name
+            assert tuple(text[::-1][reverse[known.reverse[i]] :][:level][::-1]) == name
