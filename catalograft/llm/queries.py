@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalograft.llm import ann, collocations, embedding_dedup, katz, langid, licenses, main_text, mixing, packing, secret_scan, simhash
+from catalograft.llm import ann, collocations, embedding_dedup, katz, langid, licenses, main_text, mixing, packing, quality, secret_scan, simhash, whitening
 from catalograft.llm.common import table
 
 
@@ -66,7 +66,20 @@ def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_licenses, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text, op11_collocations)}
+def op12_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs.where(~quality.held_out(docs["doc_id"])), table(spark, sf_dir, "labels"))
+    score = F.col("quality_score")
+    predicted = (score >= quality.THRESHOLD).cast("int").alias("predicted")
+    found = quality.judge(docs, model)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), predicted)
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_licenses, op3_embedding_dedup, op4_simhash, op5_language_id, op6_packing, op7_secret_scans, op8_mixing, op9_nearest, op10_main_text, op11_collocations, op12_quality, op13_whitening)}
 
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
