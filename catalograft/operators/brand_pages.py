@@ -34,7 +34,7 @@ def brand_products(
     """
     if under:
         pages = pages.where(F.col("url").startswith(under))
-    marked = with_marks(current(pages.select("page_id", "url", "html")), ("a",))
+    marked = with_marks(current(pages).select("page_id", "url", "html"), ("a",))
     linked = named_links_in(marked, (PRODUCT_PREFIX,), "products").withColumn(
         "pagers", links_in(F.col("marks"), (PAGER_PREFIX,))
     )

@@ -2,7 +2,8 @@
 
 Each merge first reduces its batch to one row per address, so that many copies of
 one address meet as partial aggregates, and then joins on the address. The result
-is the whole new table plus `action` (insert, update, keep).
+is the whole new table plus `action` (insert, update, keep). A store passes only the
+buckets the batch touches, and `last_id`, the highest id of the whole table.
 """
 
 from __future__ import annotations
@@ -55,10 +56,10 @@ def _max_id(table: DataFrame) -> int:
     return table.agg(F.max("id").alias("id")).first()["id"] or 0
 
 
-def _new_rows(old: DataFrame, batch: DataFrame) -> DataFrame:
+def _new_rows(old: DataFrame, batch: DataFrame, last_id: int | None) -> DataFrame:
     """Batch rows of unknown address with ids that continue the table's."""
     unknown = batch.join(old.select("url"), "url", "left_anti")
-    return with_dense_ids(unknown, "ord", _max_id(old))
+    return with_dense_ids(unknown, "ord", _max_id(old) if last_id is None else last_id)
 
 
 def _together(old: DataFrame, updated: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -73,7 +74,9 @@ def _together(old: DataFrame, updated: DataFrame, inserted: DataFrame) -> DataFr
     )
 
 
-def merge_brands(old: DataFrame, incoming: DataFrame, now: dt.datetime) -> DataFrame:
+def merge_brands(
+    old: DataFrame, incoming: DataFrame, now: dt.datetime, last_id: int | None = None
+) -> DataFrame:
     """Brands from a batch (ord, name, url).
 
     A known brand takes the batch's last non-empty name; a new one is inserted with
@@ -91,7 +94,7 @@ def merge_brands(old: DataFrame, incoming: DataFrame, now: dt.datetime) -> DataF
         .withColumn("name", F.coalesce("new_name", "name"))
     )
     inserted = (
-        _new_rows(old, batch)
+        _new_rows(old, batch, last_id)
         .withColumn("name", F.coalesce("new_name", "first_name", F.lit("")))
         .withColumn("discovered_at", timestamp(now))
         .withColumn("processed_at", F.lit(None))
@@ -100,7 +103,7 @@ def merge_brands(old: DataFrame, incoming: DataFrame, now: dt.datetime) -> DataF
 
 
 def merge_queued_products(
-    old: DataFrame, incoming: DataFrame, brands: DataFrame, now: dt.datetime
+    old: DataFrame, incoming: DataFrame, brands: DataFrame, now: dt.datetime, last_id: int | None = None
 ) -> DataFrame:
     """Queue products found for brands, from a batch (ord, brand_id, url, name).
 
@@ -129,7 +132,7 @@ def merge_queued_products(
         .withColumn("brand_name", F.coalesce("new_brand_name", "brand_name"))
     )
     inserted = (
-        _new_rows(old, batch)
+        _new_rows(old, batch, last_id)
         .withColumn("name", F.coalesce("new_name", "first_name"))
         .withColumn("brand_id", F.col("new_brand_id"))
         .withColumn("brand_name", F.coalesce("new_brand_name", "first_brand_name"))
@@ -141,7 +144,7 @@ def merge_queued_products(
 
 
 def merge_products(
-    old: DataFrame, extracted: DataFrame, now: dt.datetime, order: str = "page_id"
+    old: DataFrame, extracted: DataFrame, now: dt.datetime, order: str = "page_id", last_id: int | None = None
 ) -> DataFrame:
     """Save extracted products.
 
@@ -166,7 +169,7 @@ def merge_products(
         .withColumns({c: F.when(saved, F.col(f"new.{c}")).otherwise(F.col(c)) for c in replaced})
     )
     inserted = (
-        _new_rows(old, batch)
+        _new_rows(old, batch, last_id)
         .withColumn("name", F.col("new_name"))
         .withColumn("brand_name", F.col("new_brand"))
         .withColumn("brand_id", F.lit(None))

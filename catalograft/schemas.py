@@ -19,9 +19,17 @@ PRODUCT_INGREDIENTS = (
     "extra map<string,string>"
 )
 EXTRACT_FAILURES = "url string, page_id bigint, error string, seen_at timestamp_ntz"
+# the newest capture a stream has seen of an address
+CAPTURED = "url string, page_id bigint"
 TABLES = {
     "brands": BRANDS,
     "products": PRODUCTS,
     "product_ingredients": PRODUCT_INGREDIENTS,
     "extract_failures": EXTRACT_FAILURES,
+    "captured": CAPTURED,
+    "captures": PAGES,
 }
+#: What rows of a stored table are dealt by.
+KEYS = {**dict.fromkeys(TABLES, "url"), "product_ingredients": "product_id"}
+#: Column of a clustered table that tells a row's bucket.
+BUCKET = "bucket"

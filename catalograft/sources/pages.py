@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalograft.schemas import PAGES
+from catalograft.schemas import BUCKET, PAGES
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -66,18 +66,27 @@ def current(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     before. The choice is made on narrow columns; bodies are then joined by address
     and page_id, a key no two captures share, so copies of one page do not meet in one
     task and only bodies that count go on to be parsed. A null page_id is the oldest.
+
+    Pages of a capture store carry their `bucket`: they are hashed by address already, and hold
+    few captures of one, so bodies are joined by address alone and stay where they are.
     """
+    kept = [c for c in pages.columns if c != BUCKET]
     narrow = pages.select("url", "page_id")
     if urls is not None:
         narrow = narrow.join(urls.select("url").distinct(), "url", "left_semi")
     chosen = narrow.groupBy("url").agg(F.max("page_id").alias("page_id"))
     chosen = chosen.select(F.col("url").alias("__url"), F.col("page_id").alias("__page_id"))
-    same = (F.col("url") == F.col("__url")) & F.col("page_id").eqNullSafe(F.col("__page_id"))
-    counted = pages.join(chosen, same, "left_semi").select(pages.columns)
+    page_id, newest = F.col("page_id"), F.col("__page_id")
+    if BUCKET in pages.columns:
+        # none is newer than the newest: no second key, which would ask for another exchange
+        which = newest.isNull() | (page_id >= newest)
+    else:
+        which = page_id.eqNullSafe(newest)
+    counted = pages.join(chosen, (F.col("url") == F.col("__url")) & which, "left_semi").select(*kept)
     return counted.where(F.col("html").isNotNull())
 
 
 def lookup_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """`urls` with page_id, html and `found`; a page without body is not found."""
-    bodies = current(pages.select("url", "page_id", "html"), urls)
+    bodies = current(pages, urls).select("url", "page_id", "html")
     return urls.join(bodies, "url", "left").withColumn("found", F.col("html").isNotNull())
