@@ -58,9 +58,14 @@ def build_url(c: Column, base: str) -> Column:
     return F.when(absolute, c).otherwise(root_join(c, base))
 
 
+def before_query(c: Column) -> Column:
+    """An address without its query and fragment."""
+    return F.regexp_extract(c, "^[^?#]*", 0)
+
+
 def query_join(current: Column, ref: Column) -> Column:
     """Address of a "?query" reference found on the page `current`."""
-    return F.concat(F.regexp_extract(current, "^[^?#]*", 0), ref)
+    return F.concat(before_query(current), ref)
 
 
 def strip_fragment(c: Column) -> Column:

@@ -3,7 +3,7 @@
 import random
 
 from catalograft.operators import directory, discovery, sitemaps
-from catalograft.operators.brand_pages import brand_products
+from catalograft.operators.brand_pages import brand_products, walked
 
 B = "https://shop.example"
 NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -186,3 +186,34 @@ def test_numbers_of_listings_too_large(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert [r["url"] for r in directory.brand_letters(pages, B).collect()] == [B + "/brand/x"]
     assert [r["url"] for r in directory.brand_directory(pages, B).collect()] == [B + "/brand/x"]
+
+
+def test_walks_in_one_task_and_in_rounds_agree(spark):
+    rng = random.Random(4)
+    links = []
+    for brand in range(6):
+        at = [f"{B}/brand/b{brand}", *(f"{B}/brand/b{brand}?page={n}" for n in range(2, 9))]
+        links += [(u, pos, rng.choice(at)) for u in at for pos in range(rng.randint(0, 4))]
+    edges = spark.createDataFrame(links + links[:3], "url string, pos int, next_url string")
+    brands = spark.createDataFrame([(i, f"{B}/brand/b{i}") for i in range(6)] + [(0, f"{B}/brand/b0"), (9, f"{B}/brand/none")], "brand_id bigint, url string")
+
+    def order(df):
+        rows = df.orderBy("brand_id", "level", "rank").collect()
+        assert len(rows) == len({(r["brand_id"], r["url"]) for r in rows})
+        return [(r["brand_id"], r["level"], r["url"]) for r in rows]
+
+    near = order(walked(brands, edges))
+    # no address, some addresses, every address with links is too large for a task
+    for most in (0, 10, 14):
+        assert order(walked(brands, edges, most_links=most)) == near
+    assert near[-1] == (9, 0, f"{B}/brand/none")
+
+
+def test_a_long_chain_of_pages_is_one_walk(spark):
+    n = 2_000
+    at = [f"{B}/brand/long"] + [f"{B}/brand/long?page={i}" for i in range(2, n + 1)]
+    links = [(at[i], p, at[j]) for i in range(n) for p, j in enumerate((max(i - 1, 0), min(i + 1, n - 1)))]
+    edges = spark.createDataFrame(links, "url string, pos int, next_url string")
+    brands = spark.createDataFrame([(1, at[0])], "brand_id bigint, url string")
+    found = walked(brands, edges).orderBy("level").collect()
+    assert [(r["url"], r["level"], r["rank"]) for r in found] == [(u, i, 0) for i, u in enumerate(at)]
