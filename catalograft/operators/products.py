@@ -8,6 +8,8 @@ through Python.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,33 @@ INGREDIENT_PREFIX = "/ingredients/"
 BRAND_PREFIX = "/brand"
 STRICT_BRAND_PREFIXES = ("/brand/", "/brands/")
 
+#: What each field of a product is made from: parts of the page and values of its product node.
+PARTS_OF = {
+    "name": ("title", "metas", "blocks"),
+    "brand": ("metas", "brands", "blocks"),
+    "description": ("metas", "blocks"),
+    "image_url": ("metas", "blocks"),
+    "rating_value": ("blocks",),
+    "rating_count": ("blocks",),
+    "categories": ("blocks",),
+    "ingredients": ("events", "blocks"),
+    "json_ld": ("blocks",),
+    "raw_brand_links": ("brands",),
+    "extract_error": ("bad_script", "blocks"),
+}
+NODE_VALUES_OF = {
+    "name": ("ld_name",),
+    "brand": ("ld_brand",),
+    "description": ("ld_description",),
+    "image_url": ("ld_image",),
+    "rating_value": ("rating_value",),
+    "rating_count": ("rating_count",),
+    "categories": ("categories",),
+    "ingredients": ("payload",),
+    "extract_error": ("count_infinite", "payload", "unread"),
+}
+PARTS = ("title", "metas", "blocks", "bad_script", "events", "brands")
+
 _EVENT = "struct<key:string,setter:boolean,labelled:boolean,name:string,url:string>"
 
 
@@ -126,21 +155,28 @@ def _last_heading(headings: Column) -> Column:
 
 
 def page_parts(
-    pages: DataFrame, base: str, strict_brand_prefix: bool = False
+    pages: DataFrame, base: str, strict_brand_prefix: bool = False, parts: tuple[str, ...] = PARTS
 ) -> DataFrame:
-    """Raw parts of every page: title, metas, JSON-LD blocks, events and brand anchors."""
+    """Raw parts of every page: title, metas, JSON-LD blocks, events and brand anchors, or some of them."""
     kept = [c for c in pages.columns if c != "html"]
     prefixes = STRICT_BRAND_PREFIXES if strict_brand_prefix else (BRAND_PREFIX,)
+    anchored = bool({"events", "brands"} & set(parts))
+    marked = bool(set(parts) - {"events", "brands"})
+    cuts = [c for c, on in (("tokens", marked), ("anchors", anchored)) if on]
     cut = pinned(
-        pages.where(F.col("html").isNotNull()), kept, **_cut_columns(base, prefixes)
+        pages.where(F.col("html").isNotNull()), kept, **_only(_cut_columns(base, prefixes), cuts)
     )
-    headed = segments_at(
-        cut.withColumn("marks", tag_marks("tokens", ("meta", "script"))),
-        lambda t: t.startswith("<") & t.rlike(r"(?i)^<h1[\s/>]"),
-        "headings",
-        "tokens",
-    )
-    return pinned(headed, kept, **_part_columns())
+    if marked:
+        cut = cut.withColumn("marks", tag_marks("tokens", ("meta", "script")))
+    if "title" in parts:
+        cut = segments_at(
+            cut, lambda t: t.startswith("<") & t.rlike(r"(?i)^<h1[\s/>]"), "headings", "tokens"
+        )
+    return pinned(cut, kept, **_only(_part_columns(), parts))
+
+
+def _only(columns: dict[str, Column], names) -> dict[str, Column]:
+    return {name: columns[name] for name in names}
 
 
 @built_once
@@ -288,28 +324,39 @@ def _last_meta(metas: Column, key: str) -> Column:
 
 
 def extract_products(
-    pages: DataFrame, base: str, strict_brand_prefix: bool = False
+    pages: DataFrame,
+    base: str,
+    strict_brand_prefix: bool = False,
+    fields: Sequence[str] | None = None,
 ) -> DataFrame:
     """One product per captured page (page_id, url, html) that has a body.
 
-    `extract_error` is set for pages that must not be stored.
+    `fields` names the columns wanted besides those of the pages (default: all, `PARTS_OF`); only the
+    stages they need are built, as a generator's columns are not pruned later. `extract_error` is
+    set for pages that must not be stored.
     """
+    fields = tuple(PARTS_OF) if fields is None else tuple(fields)
     kept = [c for c in pages.columns if c != "html"]
-    noded = with_product_node(page_parts(pages, base, strict_brand_prefix))
-    read = noded.withColumn("node", F.try_parse_json("json_ld"))
-    parts = ["title", "metas", "events", "brands", "bad_script", "json_ld", "node_error"]
-    raw = pinned(read, [*kept, *parts, "node"], raws=jsonld.raw_members(F.col("node")))
-    fields = pinned(raw, [*kept, *parts], **_node_columns())
-    combined = pinned(
-        fields,
-        [c for c in fields.columns if c not in ("events", "payload")],
-        **_event_columns(base),
-    )
-    combined = combined.withColumn("events", F.col("mentions.events")).withColumn(
-        "name_failed", F.col("mentions.failed")
-    )
-    rostered = merge_by_name(fold_mentions(combined.drop("mentions")))
-    return pinned(rostered, kept, **_product_columns())
+    parts = tuple(p for p in PARTS if any(p in PARTS_OF[f] for f in fields))
+    df = page_parts(pages, base, strict_brand_prefix, parts)
+    if "blocks" in parts:
+        df = with_product_node(df)
+        values = tuple(dict.fromkeys(v for f in fields for v in NODE_VALUES_OF.get(f, ())))
+        if values:
+            read = df.withColumn("node", F.try_parse_json("json_ld"))
+            raw = pinned(read, [*df.columns, "node"], raws=jsonld.raw_members(F.col("node")))
+            df = pinned(raw, df.columns, **_only(_node_columns(), values))
+    if "ingredients" in fields:
+        combined = pinned(
+            df, [c for c in df.columns if c not in ("events", "payload")], **_event_columns(base)
+        )
+        combined = combined.withColumn("events", F.col("mentions.events")).withColumn(
+            "name_failed", F.col("mentions.failed")
+        )
+        df = merge_by_name(fold_mentions(combined.drop("mentions")))
+    elif "extract_error" in fields:
+        df = pinned(df, [c for c in df.columns if c != "payload"], **_failed_column(base))
+    return pinned(df, kept, **_only(_product_columns(), fields))
 
 
 @built_once
@@ -343,6 +390,11 @@ def _event_columns(base: str) -> dict[str, Column]:
     }
 
 
+@built_once
+def _failed_column(base: str) -> dict[str, Column]:
+    return {"name_failed": F.exists(jsonld.json_mentions(F.col("payload"), base), lambda m: m["failed"])}
+
+
 @built_once
 def _product_columns() -> dict[str, Column]:
     metas, brands = F.col("metas"), F.col("brands")
@@ -391,7 +443,7 @@ def _product_columns() -> dict[str, Column]:
 def ingredient_mentions(pages: DataFrame, base: str) -> DataFrame:
     """Mention events of ingredient anchors, as (…, pos, key, kind, name, url)."""
     kept = [c for c in pages.columns if c not in ("url", "html")]
-    events = exploded(page_parts(pages, base), kept, F.col("events"), "event")
+    events = exploded(page_parts(pages, base, parts=("events",)), kept, F.col("events"), "event")
     return events.select(
         *kept,
         "pos",
@@ -405,5 +457,5 @@ def ingredient_mentions(pages: DataFrame, base: str) -> DataFrame:
 def brand_mentions(pages: DataFrame, base: str) -> DataFrame:
     """Brand anchors, as (…, pos, url, text); the text is null when unusable."""
     kept = [c for c in pages.columns if c not in ("url", "html")]
-    anchors = exploded(page_parts(pages, base), kept, F.col("brands"), "anchor")
+    anchors = exploded(page_parts(pages, base, parts=("brands",)), kept, F.col("brands"), "anchor")
     return anchors.select(*kept, "pos", "anchor.url", "anchor.text")

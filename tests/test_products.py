@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from catalograft.operators.products import extract_products
+from catalograft.operators.products import PARTS_OF, extract_products
 
 B = "https://shop.example"
 
@@ -189,3 +189,26 @@ def test_roster(out, case, expected):
 
 def test_page_without_body_gives_no_row(out):
     assert "null_html" not in out
+
+
+def test_fields_asked_for_decide_what_is_built(spark):
+    rows = [(i, f"{B}/{c}", html) for i, (c, html) in enumerate(CASES.items())]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    everything = extract_products(pages, B)
+    rows = {r["page_id"]: r for r in everything.collect()}
+
+    def plan_of(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    for fields in [(f,) for f in PARTS_OF] + [("name", "ingredients"), ("rating_value", "extract_error"), ()]:
+        some = extract_products(pages, B, fields=fields)
+        assert some.columns == ["page_id", "url", *fields]
+        found = some.collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert str([r[f] for f in fields]) == str([rows[r["page_id"]][f] for f in fields])
+    rating = plan_of(extract_products(pages, B, fields=("rating_value", "rating_count")))
+    assert not any(part in rating for part in ("events", "anchors", "headings", "_groups", "_names"))
+    assert "_groups" in plan_of(everything) and "anchors" in plan_of(everything)
+    links = plan_of(extract_products(pages, B, fields=("raw_brand_links",)))
+    assert "json" not in links and "marks" not in links

@@ -89,7 +89,8 @@ def jsonld_blocks(spark, sf_dir):
 
 def page_titles(spark, sf_dir):
     """Extraction over the raw pages, which have headings and links only."""
-    found = products.extract_products(_pages(spark, sf_dir), BASE)
+    fields = ("name", "brand", "ingredients", "extract_error")
+    found = products.extract_products(_pages(spark, sf_dir), BASE, fields=fields)
     return found.select(
         "page_id", "url", "name", "brand", F.size("ingredients").alias("ingredients"), "extract_error"
     )
@@ -155,12 +156,13 @@ def humanize_slug(spark, sf_dir):
 # ---- products -------------------------------------------------------------------------
 
 
-def _extracted(spark, sf_dir):
-    return products.extract_products(templates.product_pages(spark, sf_dir), BASE)
+def _extracted(spark, sf_dir, *fields):
+    return products.extract_products(templates.product_pages(spark, sf_dir), BASE, fields=fields)
 
 
 def product_core(spark, sf_dir):
-    return _extracted(spark, sf_dir).select(
+    fields = ("name", "brand", "description", "image_url", "json_ld", "extract_error")
+    return _extracted(spark, sf_dir, *fields).select(
         "page_id",
         "url",
         "name",
@@ -173,11 +175,11 @@ def product_core(spark, sf_dir):
 
 
 def product_rating(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", "rating_value", "rating_count")
+    return _extracted(spark, sf_dir, "rating_value", "rating_count").select("page_id", "rating_value", "rating_count")
 
 
 def product_categories(spark, sf_dir):
-    return _extracted(spark, sf_dir).select(
+    return _extracted(spark, sf_dir, "categories").select(
         "page_id", F.size("categories").alias("n"), F.array_join("categories", "|").alias("categories")
     )
 
@@ -188,7 +190,7 @@ def ingredient_mentions(spark, sf_dir):
 
 
 def ingredients_resolved(spark, sf_dir):
-    rosters = _extracted(spark, sf_dir).select("page_id", F.explode_outer("ingredients").alias("i"))
+    rosters = _extracted(spark, sf_dir, "ingredients").select("page_id", F.explode_outer("ingredients").alias("i"))
     return rosters.where("i is not null").select("page_id", "i.position", "i.name", "i.url")
 
 
