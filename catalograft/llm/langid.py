@@ -223,10 +223,11 @@ def of_learned_letters(text: Column, net: Network | None, least: float = 0.5) ->
 
     Its probabilities sum to one whatever it reads, so a script it never met can score high.
     """
-    rest = F.translate(text, net.letters if net else "", "")
-    foreign = F.length(F.regexp_replace(rest, r"\P{L}+", ""))
-    known = F.length(text) - F.length(rest)
-    return known >= least * (known + foreign)
+    letters = "".join(f"\\x{{{ord(c):x}}}" for c in net.letters) if net else ""
+    # counts copy no text; most texts hold no other letter and need no second count
+    foreign = F.regexp_count(text, F.lit(f"[\\p{{L}}&&[^{letters}]]" if letters else r"\p{L}"))
+    known = F.regexp_count(text, F.lit(f"[{letters}]")) if letters else F.lit(0)
+    return F.when(foreign == 0, F.lit(True)).otherwise(known >= least * (known + foreign))
 
 
 def _first_of_each(rows: DataFrame, by: list[str], most: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ MOST_PADDING = 16
 #: Partitions whose leftover windows one merging task gets.
 FAN = 16
 #: Distinct chunks a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 _SCHEMA = pa.schema(
     [
@@ -48,7 +49,9 @@ class Encoder:
     """
 
     _known: dict[str, tuple] = {}
-    _libraries: dict[str, tuple] = {}
+    _libraries: dict[str, object] = {}
+    # fixed values: Unicode's white space
+    _long_space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
     _inside = re.compile(r" (?<=\s )(?:\s|\Z)")
 
     def __init__(self, path: str, special: bool = False):
@@ -56,17 +59,18 @@ class Encoder:
             self._known[path] = (self._encoding(path), {})
         self.encode, self.chunks = self._known[path]
         self.special: list[str] = []
+        self.path = path
         if special:
-            if path not in self._libraries:
-                self._libraries[path] = self._library(path)
-            self.library, self.special = self._libraries[path]
+            with open(path, encoding="utf-8") as file:
+                self.special = [t["content"] for t in json.load(file)["added_tokens"]]
 
-    @staticmethod
-    def _library(path: str) -> tuple:
-        from tokenizers import Tokenizer
+    def _by_library(self, text: str) -> bytes:
+        """Loaded when the first text needs it: it takes some 30 MB of a worker."""
+        if self.path not in self._libraries:
+            from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        return library, [t.content for t in library.get_added_tokens_decoder().values()]
+            self._libraries[self.path] = Tokenizer.from_file(self.path)
+        return np.array(self._libraries[self.path].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def _encoding(path: str):
@@ -87,14 +91,28 @@ class Encoder:
             del ranks[token]
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         encoding = tiktoken.Encoding("text", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+
+        def encode(text: str) -> bytes:
+            ids: list[int] = []
+            at = 0
+            # the engine's pattern cannot take very long white space: a run is one piece up to its last
+            # character, which belongs to what follows, and all of it at the end of the text
+            for run in Encoder._long_space.finditer(text):
+                end = run.end() - (run.end() < len(text))
+                ids += encoding.encode_ordinary(text[at : run.start()])
+                ids += encoding._encode_single_piece(text[run.start() : end])
+                at = end
+            ids += encoding.encode_ordinary(text[at:])
+            return np.array(ids, "<u4").tobytes()
+
+        return encode
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         encode, chunks = self.encode, self.chunks
         out = []
         for text in texts:
             if any(token in text for token in self.special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self._by_library(text))
                 continue
             if self._inside.search(text):  # a space within a run of white space starts no token
                 out.append(encode(text))

@@ -69,3 +69,19 @@ def test_gradients_are_those_of_the_loss():
             down = loss()
             p[at] = before
             assert g[at] == pytest.approx((up - down) / 2e-2, abs=2e-4)
+
+
+def test_share_of_learned_letters(make):
+    net = langid.Network(["a", "b"], None, None, None, "abcABCé\\]^-")
+    net.letters = "abcABCé"
+    texts = ["", None, "12 !", "abc xyz", "abc xyzw", "ABCé", "жжж abc", "жжж ab", "\U00010400é", "xyz"]
+    docs = make(*enumerate(texts))
+    kept = {r["doc_id"] for r in docs.where(langid.of_learned_letters(docs["text"], net)).collect()}
+
+    def by_hand(text):
+        letters = [c for c in text if c.isalpha()]
+        return 2 * sum(c in net.letters for c in letters) >= len(letters)
+
+    assert kept == {i for i, t in enumerate(texts) if t is not None and by_hand(t)}
+    none = docs.where(langid.of_learned_letters(docs["text"], None)).collect()
+    assert {r["doc_id"] for r in none} == {0, 2}

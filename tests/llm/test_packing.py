@@ -93,3 +93,25 @@ def test_best_fit_and_the_fullest_leaves():
 
 def test_empty_table(make):
     assert packing.pack(make().where("doc_id = 0"), PATH).count() == 0
+
+
+def test_the_library_is_loaded_when_a_text_needs_it(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "_libraries", {})
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), special=True)
+    encoder(["plain text", " \n" * 3000])
+    assert not encoder._libraries
+    encoder([encoder.special[0]])
+    assert encoder._libraries
+
+
+def test_long_white_space_equals_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoder = packing.Encoder(path, special=True)
+    for space in ("\n", " ", "\t", "　", " \n", "\xa0 "):
+        for shape in ("{}", "a{}", "{}b", "a{}b.", "a {}'s{}!", "x{} y"):
+            text = shape.format(*[space * 1500] * shape.count("{}"))
+            got = np.frombuffer(encoder([text])[0], "<u4").tolist()
+            assert got == library.encode(text, add_special_tokens=False).ids, (space, shape)
+    long = "a" + "\n" * 5_000_000 + "b"
+    assert len(encoder([long])[0]) > 0
