@@ -13,8 +13,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Parts that mean nothing alone: who logs in, where, and a key-like word without a name.
+#: A host name has at most 253 characters, which also bounds a search that fails.
 IDENTITY = r"(?i:(?:\b|(?<=_))(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]+"
-ENDPOINT = r"(?i:\b(?:https?|ftp|ssh|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+|\b[a-z0-9.-]+\.amazonaws\.com\b)"
+ENDPOINT = r"(?i:\b(?:https?|ftp|ssh|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+|\b[a-z0-9.-]{1,253}\.amazonaws\.com\b)"
 KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
 #: Order of the kinds in results.
 KINDS = ("assign", "access", "hex", "identity", "endpoint", "keylike")
