@@ -50,6 +50,7 @@ class Encoder:
 
     _known: dict[str, tuple] = {}
     _libraries: dict[str, object] = {}
+    _special: dict[str, list[str]] = {}
     # fixed values: Unicode's white space
     _long_space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
     _inside = re.compile(r" (?<=\s )(?:\s|\Z)")
@@ -61,8 +62,10 @@ class Encoder:
         self.special: list[str] = []
         self.path = path
         if special:
-            with open(path, encoding="utf-8") as file:
-                self.special = [t["content"] for t in json.load(file)["added_tokens"]]
+            if path not in self._special:
+                with open(path, encoding="utf-8") as file:
+                    self._special[path] = [t["content"] for t in json.load(file)["added_tokens"]]
+            self.special = self._special[path]
 
     def _by_library(self, text: str) -> bytes:
         """Loaded when the first text needs it: it takes some 30 MB of a worker."""
@@ -93,6 +96,8 @@ class Encoder:
         encoding = tiktoken.Encoding("text", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> bytes:
+            if len(text) < 1000:
+                return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
             ids: list[int] = []
             at = 0
             # the engine's pattern cannot take very long white space: a run is one piece up to its last
