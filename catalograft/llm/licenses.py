@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,8 @@ from catalograft.llm.common import ascii_lower
 NOTICE_WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 SHINGLE = 5
 LEAST_CONTAINMENT = 0.8
-#: Shingles of a window; a new one begins every half width.
-WIDTH = 4
-#: Most entries of a template index that is broadcast at once.
+#: Most entries of a template index that is broadcast at once. An entry is one shingle of one
+#: template, about 100 bytes, so a part stays near 10 MB.
 MOST_ENTRIES = 100_000
 
 #: Public license notices.
@@ -68,65 +69,75 @@ def _shingles(text: Column) -> Column:
     return bind(words, hashes)
 
 
-def bands_for(least_shingles: int, width: int = WIDTH, miss: float = 0.01) -> int:
+def bands_for(least_shingles: int, width: int = 4, miss: float = 0.01) -> int:
     """Bands so that a window that holds `least_shingles` of a template misses it with
-    probability at most `miss`. A band is one minimum."""
+    probability at most `miss`. A band is one minimum or one maximum."""
     share = min(least_shingles, width) / width
     return 1 if share == 1 else math.ceil(math.log(miss) / math.log(1 - share))
 
 
-def _bands_of(shortest: int, least: float, width: int) -> int:
-    """Bands for templates of at least `shortest` shingles of which a text holds the share `least`.
+def _bands_of(held: int, width: int) -> int:
+    """Bands for windows of `width` when a text holds at least `held` shingles of a template.
 
-    However the m shingles held lie in the windows, a band misses them all with probability
-    at most (width - 1) / (width - 1 + m): each misses only if one of the width - 1 others
-    of its window is smaller, and that is likeliest when all windows share those others.
+    However the held shingles lie in the windows, a band misses them all with probability
+    at most (width - 1) / (width - 1 + held): each misses only if one of the width - 1 others
+    of its window comes first, and that is likeliest when all windows share those others.
+    The least and the greatest of one order are no worse than independent bands, as a miss of
+    the one grows likelier with the hashes held and a miss of the other less likely. In
+    windows of two they are the whole window.
     """
-    held = max(math.ceil(least * shortest - 1e-9), 1)
-    return bands_for(held, held + width - 1)
+    return 2 if width == 2 else bands_for(held, held + width - 1)
+
+
+def _turned(hashes: Column, bits: int) -> Column:
+    """The hashes with their bits turned round, another order of the same shingles."""
+    if not bits:
+        return hashes
+    return F.transform(hashes, lambda h: F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)))
+
+
+def _end_of(end: Callable[[Column], Column], hashes: Column, width: int, start: Column) -> Column:
+    return end(F.slice(hashes, start, F.lit(width)))
 
 
 def _minima(hashes: Column, bands: int, width: int) -> Column:
-    """The distinct shingles that are the smallest of a window of a text by the hash of a band.
+    """The distinct shingles that come first in a window of a text in the order of a band.
 
-    The bands hash shingle and band number, so they are independent. The last bits of the
-    hash give way to the place in the window, which names the shingle.
+    The orders are those of the hash and, backwards, of its maxima, and the same of its turned
+    bits. A band's shingle is read off its hash, so windows need no hashing.
     """
-    step = max(width // 2, 1)
+    step = width // 2
     starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - width + step, F.lit(1)), F.lit(step))
-    place = (1 << width.bit_length()) - 1
+    orders = -(-bands // 2)
+    found = []
+    for order in range(orders):
+        bits = 64 // orders * order
 
-    def window(i: Column) -> Column:
-        def least(part: Column) -> Column:
-            def band(c: int) -> Column:
-                keys = F.transform(part, lambda h, j: F.xxhash64(h, F.lit(c)).bitwiseAND(F.lit(~place)).bitwiseOR(j.cast("long")))
-                return F.get(part, F.array_min(keys).bitwiseAND(F.lit(place)).cast("int"))
+        ends = [F.array_min, F.array_max][: bands - 2 * order]
 
-            return F.array_distinct(F.array(*map(band, range(bands))))
+        def firsts(turned: Column) -> Column:
+            return F.concat(*(F.transform(starts, partial(_end_of, end, turned, width)) for end in ends))
 
-        return bind(F.slice(hashes, i, F.lit(width)), least)
+        one = bind(_turned(hashes, bits), firsts)
+        found.append(_turned(one, 64 - bits) if bits else one)
+    return F.array_distinct(F.concat(*found))
 
-    found = F.array_distinct(F.flatten(F.transform(starts, window)))
-    return F.when(F.size(hashes) > 0, found).otherwise(F.array().cast("array<bigint>"))
 
-
-def scan_licenses(
-    docs: DataFrame,
-    templates: DataFrame | None = None,
-    least: float = LEAST_CONTAINMENT,
-    width: int = WIDTH,
-) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST_CONTAINMENT) -> DataFrame:
     """(doc_id, license_id, containment) for each text and each template it holds.
 
-    In: doc_id, text; templates license_id, text (other columns are ignored). A text's shingles
-    lie in windows of `width` that overlap by half. The minimum of each band of each window
-    retrieves templates; their number follows from the shortest template, so that one a text
-    holds is missed with probability at most 0.01 wherever its shingles lie. A retrieved template is verified: at
-    least `least` of its distinct shingles must occur in the text.
+    In: doc_id, text; templates license_id, text (other columns are ignored). Templates are
+    classed by length: those of which a text must hold m shingles are sought with windows of
+    about m / 4 shingles (two at least) that overlap by half. The bands of each window retrieve
+    templates of its class; their number follows from the shortest of the class, so that one a
+    text holds is missed with probability at most 0.01 wherever its shingles lie, and of a long
+    template only a few dozen shingles are met however long it is. A retrieved template is
+    verified: at least `least` of its distinct shingles must occur in the text.
 
-    The index of template shingles is broadcast in parts of at most MOST_ENTRIES entries, each
-    template whole in its part, so tables of templates of any size are scanned; a single
-    template above that size is joined without a broadcast. Texts are never shuffled.
+    The index holds each shingle once with the numbers of its templates, the templates' shingles
+    stand beside it; both are broadcast in parts of about MOST_ENTRIES entries. Templates that
+    have more shingles than that are joined without a broadcast; only texts of that length are
+    asked about them. Otherwise texts are never shuffled.
 
     Null or short texts (under five words): no row. Templates under five words or null ones:
     never found. Repeated rows: the same row again. Templates with equal ids are different
@@ -135,35 +146,58 @@ def scan_licenses(
     spark = docs.sparkSession
     templates = default_templates(spark) if templates is None else templates
     shingled = pinned(templates.select("license_id", "text"), ["license_id"], shingles=F.array_distinct(_shingles(F.coalesce("text", F.lit("")))))
-    shingled = shingled.where("size(shingles) > 0").select("license_id", "shingles", F.size("shingles").alias("n"))
-    sizes = shingled.agg(F.sum("n"), F.min("n")).first()
+    held = F.greatest(F.ceil(F.size("shingles") * F.lit(float(least)) - 1e-9), F.lit(1)).cast("int")
+    shingled = shingled.where("size(shingles) > 0").select(
+        "license_id",
+        "shingles",
+        F.xxhash64("license_id", "shingles").alias("template"),
+        held.alias("held"),
+        (F.size("shingles") > MOST_ENTRIES).alias("large"),
+        F.when(held < 16, 2).otherwise(F.pow(F.lit(2), F.floor(F.log2(held / 4)))).cast("int").alias("width"),
+    )
+    # at most some thirty widths, each with and without large templates
+    classes = shingled.groupBy("large", "width").agg(F.min("held"), F.sum(F.size("shingles"))).collect()
     text = pinned(docs.select("doc_id", "text"), ["doc_id"], hashes=_shingles(F.coalesce("text", F.lit(""))))
-    if sizes[0] is None:
+    if not classes:
         return text.select("doc_id", F.lit(None).cast("string").alias("license_id"), F.lit(0.0).alias("containment")).limit(0)
-    parts = -(-sizes[0] // MOST_ENTRIES)
-    bands = _bands_of(sizes[1], least, width)
-    found = None
-    for part in range(parts):
-        some = shingled if parts == 1 else shingled.where(F.pmod(F.xxhash64("license_id", "shingles"), F.lit(parts)) == part)
-        one = _matches(text, some, bands, width, least)
-        found = one if found is None else found.union(one)
-    return found
-
-
-def _matches(text: DataFrame, templates: DataFrame, bands: int, width: int, least: float) -> DataFrame:
-    index = templates.select(F.explode("shingles").alias("h"), "license_id", "shingles")
-    index = index.groupBy("h").agg(F.collect_set(F.struct("license_id", "shingles")).alias("held"))
-    # one row per shingle of the templates; their number is checked above
-    held = pinned(text, ["doc_id", "hashes"], minima=_minima(F.col("hashes"), bands, width))
-    probes = held.select("*", F.explode("minima").alias("m"))
-    met = probes.join(F.broadcast(index), F.col("m") == F.col("h"))
-    # only now, for rows that met, is the containment worked out
-    inside = F.size(F.array_intersect("t.shingles", "hashes")) / F.size("t.shingles")
-    verified = (
-        met.select("doc_id", "hashes", "minima", "m", F.explode("held").alias("t"))
-        .select("doc_id", "minima", "m", F.col("t.license_id").alias("license_id"), F.col("t.shingles").alias("shingles"), inside.alias("containment"))
-        .where(F.col("containment") >= least)
-    )
-    # several shingles of a template meet: the first of them in the text's set speaks for it
-    first = F.array_intersect("shingles", "minima")[0] == F.col("m")
-    return verified.where(first).select("doc_id", "license_id", "containment")
+    found = []
+    for large in sorted({c[0] for c in classes}):
+        some = shingled.where("large" if large else "not large").drop("large")
+        widths = sorted((width, shortest) for l, width, shortest, _ in classes if l == large)
+        parts = 1 if large else -(-sum(c[3] for c in classes if c[0] == large) // MOST_ENTRIES)
+        for part in range(parts):
+            one = some if parts == 1 else some.where(F.pmod("template", F.lit(parts)) == part)
+            found.append(_matches(text, one, widths, least, not large))
+    return reduce(DataFrame.union, found)
+
+
+def _matches(text: DataFrame, templates: DataFrame, widths: list[tuple[int, int]], least: float, small: bool) -> DataFrame:
+    """Rows of the texts that hold templates; `widths` are the windows, each with the fewest shingles to be held."""
+
+    def sent(df: DataFrame) -> DataFrame:
+        # small ones have some MOST_ENTRIES entries, counted above
+        return F.broadcast(df) if small else df.hint("merge")
+
+    templates = templates.dropDuplicates(["template"])
+    # the key of a probe is the shingle's hash with the window's width, so that classes stay apart
+    entries = templates.select("template", F.explode("shingles").alias("h"), "width")
+    index = entries.groupBy(F.col("h").bitwiseXOR(F.col("width").cast("long")).alias("key")).agg(F.collect_list("template").alias("templates"))
+    none = F.array().cast("array<bigint>")
+
+    def probes(hashes: Column) -> Column:
+        def of(width: int, shortest: int) -> Column:
+            keys = F.transform(_minima(hashes, _bands_of(shortest, width), width), lambda h: h.bitwiseXOR(F.lit(width).cast("long")))
+            return F.when(F.size(hashes) >= shortest, keys).otherwise(none)
+
+        return F.concat(*(of(*w) for w in widths))
+
+    asked = pinned(text.where(F.size("hashes") >= min(s for _, s in widths)), ["doc_id", "hashes"], probes=probes(F.col("hashes")))
+    met = asked.select("*", F.explode("probes").alias("m")).join(sent(index), F.col("m") == F.col("key"))
+    met = met.select("doc_id", "hashes", "probes", "m", F.explode("templates").alias("number"))
+    met = met.join(sent(templates), F.col("number") == F.col("template"))
+    # several shingles of a template meet: the first of them among the text's speaks for it
+    keys = F.transform("shingles", lambda h: h.bitwiseXOR(F.col("width").cast("long")))
+    first = F.array_intersect(keys, "probes")[0] == F.col("m")
+    inside = F.size(F.array_intersect("shingles", "hashes")) / F.size("shingles")
+    verified = met.where(first).select("doc_id", "license_id", inside.alias("containment"))
+    return verified.where(F.col("containment") >= least)

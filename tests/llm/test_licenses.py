@@ -85,3 +85,35 @@ def test_recall_of_short_templates_anywhere(spark, make, n):
 def test_plan_has_no_python(make):
     plan = licenses.scan_licenses(make((1, "a b c d e f")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_templates_of_any_length_with_edits(spark, make):
+    """Copies with every 40th shingle changed, at both ends and between other words; near misses."""
+    rng = random.Random(5)
+
+    def words(k):
+        return [f"w{rng.getrandbits(40)}" for _ in range(k)]
+
+    templates, rows = [], []
+    for size in (20, 40, 90, 200, 450, 1000, 2500):
+        for k in range(12):
+            template = words(size)
+            edited = [w if i % 40 != 20 else "edit" for i, w in enumerate(template)] if k % 2 else template
+            templates.append((f"{size}-{k}", " ".join(template)))
+            around = [(0, 60), (60, 0), (33, 7)][k % 3]
+            rows.append((len(rows), " ".join(words(around[0]) + edited + words(around[1]))))
+            rows.append((len(rows), " ".join(template[: size // 2] + words(size // 2))))
+    got = found(licenses.scan_licenses(make(*rows), spark.createDataFrame(templates, "license_id string, text string")))
+    exact = wanted(rows, templates)
+    assert len(exact) == 84 and set(got) <= set(exact) and len(got) >= 83
+
+
+def test_one_very_long_template(spark, make, monkeypatch):
+    rng = random.Random(6)
+    template = " ".join(f"w{rng.getrandbits(40)}" for _ in range(50_000))
+    templates = spark.createDataFrame([("long", template), ("mit", licenses.TEMPLATES["mit"])], "license_id string, text string")
+    docs = make((1, f"some words before {template}"), (2, template[: len(template) // 2]), (3, f"It is {licenses.TEMPLATES['mit']}"), (4, None))
+    assert found(licenses.scan_licenses(docs, templates)) == [(1, "long", 1.0), (3, "mit", 1.0)]
+    # too long to broadcast
+    monkeypatch.setattr(licenses, "MOST_ENTRIES", 10_000)
+    assert found(licenses.scan_licenses(docs, templates)) == [(1, "long", 1.0), (3, "mit", 1.0)]
