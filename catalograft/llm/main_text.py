@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +39,10 @@ _ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "com
 _BAD = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?|masthead|topbar|side(?:bar)?|widget\w*|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall|toolbar|pagination|pager|copyright|legal|disclaimer|skip)(?![a-z])")
 _COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|respond|repl(?:y|ies)|disqus|discussion|reactions?|reviews)(?![a-z])")
 _GOOD = re.compile(r"(?:^|[^a-z])(?:article|main|content|post|entry|story|body|text)(?![a-z])")
+#: Words of a class that tell of a page's state or subject, not of what the element is.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without|is|tag|category|cat|term|tax|type|format|status|layout|template)[-_]\S*")
+#: Of the bad words, those that name what never is the article, however much text it holds.
+_NEVER = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|subscribe|login|signup|paywall|copyright|breadcrumbs?|pagination|pager)(?![a-z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
@@ -57,40 +61,65 @@ _HELD = np.array([300.0] * len(HINTS) + [3.0, 3.0, 300.0, 3.0, 3.0, 3.0, 3.0])
 NEXT, SIBLING = 1.0, 1.0
 
 
+#: A wrapper with so much of the page's text outside links is its layout, and an article with
+#: so much of it is the page's own.
+MOST_TEXT, ARTICLE_TEXT = 0.5, 0.3
+
+
+@dataclass
+class Element:
+    name: str
+    parent: int  # number of the element around it, -1 for none
+    depth: int  # block elements around it and itself
+    hints: int  # of its own
+    inside: bool  # in an article
+    never: bool  # words that no amount of text outweighs
+    main: bool
+    text: int = 0  # characters outside links, with all it holds
+
+
 @dataclass
 class Block:
     text: str
     hints: int
     tag: str
-    path: tuple[int, ...]  # numbers of the elements around it, outermost first
+    element: int  # number of the block element around it, -1 for none
     link_chars: int
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, decoded, white space turned into one space."""
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of a page in order and its elements, in time that grows with the page alone."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # (name, number, hints)
-    number = silent = 0
+    elements: list[Element] = []
+    stack: list[int] = []  # numbers of the open elements
+    opened: Counter[str] = Counter()
+    silent = 0
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
 
+    def name_of(i: int) -> str:
+        return elements[stack[i]].name
+
     def close_block() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                around = next((s[0] for s in reversed(stack) if s[0] not in _INLINE), "body")
-                linked = len("".join(links))
-                hints = 0
-                for s in stack:
-                    hints |= s[2]
-                out.append(Block(text, hints, around, tuple(s[1] for s in stack if s[0] not in _INLINE), linked))
+                inner = stack[-1] if stack else -1
+                out.append(Block(text, 0, "body", inner, min(len("".join(links)), len(text))))
             parts.clear()
             links.clear()
 
     def pop_to(i: int) -> None:
         nonlocal silent, in_link
-        for name, _, _ in stack[i:]:
+        for number in stack[i:]:
+            name = elements[number].name
+            opened[name] -= 1
             silent -= name in _SILENT
             in_link -= name == "a"
         del stack[i:]
@@ -102,7 +131,7 @@ def blocks_of(page: str) -> list[Block]:
             data, after = page[at:], len(page)
         else:
             data, after = page[at : m.start()], m.end()
-        if stack and stack[-1][0] == "head" and data.strip():
+        if stack and name_of(-1) == "head" and data.strip():
             pop_to(len(stack) - 1)
         if data and not silent:
             parts.append(data)
@@ -117,50 +146,60 @@ def blocks_of(page: str) -> list[Block]:
                 close_block()
             elif name in _SPACE and not silent:
                 parts.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    # an inline element does not end the blocks around it
-                    if name not in _INLINE or all(s[0] in _INLINE for s in stack[i:]):
-                        pop_to(i)
-                    else:
-                        in_link -= name == "a"
-                        del stack[i]
-                    break
+            if opened[name]:
+                i = len(stack) - 1
+                while name_of(i) != name:
+                    i -= 1
+                # an inline element does not end the blocks around it
+                if name not in _INLINE or all(elements[n].name in _INLINE for n in stack[i:]):
+                    pop_to(i)
+                else:
+                    in_link -= name == "a"
+                    opened[name] -= 1
+                    del stack[i]
             continue
-        if stack and stack[-1][0] == "head" and name not in _HEAD:
+        if stack and name_of(-1) == "head" and name not in _HEAD:
             pop_to(len(stack) - 1)
         if name not in _INLINE and name not in _SILENT:
             close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+            if opened["p"]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if name_of(i) == "p":
+                        pop_to(i)
+                        break
+                    if name_of(i) not in _INLINE:
+                        break
         elif name in _SPACE and not silent:
             parts.append(" ")
         if name in _ENDS:
             ended, limits = _ENDS[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limits:
-                    break
-                if stack[i][0] in ended:
+            i = len(stack) - 1
+            while i >= 0 and any(opened[e] for e in ended) and name_of(i) not in limits:
+                if name_of(i) in ended:
                     pop_to(i)
+                i -= 1
         if name in _VOID or m[3].endswith("/"):
             continue
-        number += 1
-        stack.append((name, number, _hints_of(name, m[3], stack)))
+        around = elements[stack[-1]] if stack else None
+        depth = (around.depth if around else 0) + (name not in _INLINE)
+        inside = bool(around and around.inside)
+        hints, never, main = _hints_of(name, m[3], inside)
+        stack.append(len(elements))
+        elements.append(Element(name, stack[-2] if around else -1, depth, hints, inside or bool(hints & _BIT["article"]), never, main))
+        opened[name] += 1
         silent += name in _SILENT
         in_link += name == "a"
         if name in _RAW:
             end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
     close_block()
-    return out
+    _weigh(out, elements)
+    return out, elements
 
 
-def _hints_of(name: str, attributes: str, stack: list) -> int:
-    hints = 0
+def _hints_of(name: str, attributes: str, inside: bool) -> tuple[int, bool, bool]:
+    """The hints of an element's own tag and attributes, whether its words are those of _NEVER, whether it is a main."""
+    hints, never = 0, False
     role, words = name, ""
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
@@ -171,17 +210,64 @@ def _hints_of(name: str, attributes: str, stack: list) -> int:
                 words += " " + value
         if _HIDDEN.search(attributes):
             hints |= _BIT["hidden"]
-    inside = any(s[2] & _BIT["article"] for s in stack)
     if role in ("article", "main"):
         hints |= _BIT["article"]
     elif role in ("nav", "footer", "aside", "form") or role == "header" and not inside:
         hints |= _BIT[role]
     # the root elements carry words about the whole page
     if words and name not in ("html", "body"):
+        words = _STATE.sub("", words)
         hints |= _BIT["comment"] if _COMMENTS.search(words) else 0
         hints |= _BIT["bad"] if _BAD.search(words) else 0
         hints |= _BIT["good"] if _GOOD.search(words) else 0
-    return hints
+        never = _NEVER.search(words) is not None
+    return hints, never, role == "main"
+
+
+def _weigh(blocks: list[Block], elements: list[Element]) -> None:
+    """Gives each block the hints of the elements around it, wrappers judged by what they hold.
+
+    The page's own article is its `main`, or the article with the most text outside links if
+    that is ARTICLE_TEXT of the page's; an article whose words say comment is none. An element
+    that is or holds it says nothing bad by its words or by being a form: the theme's widget,
+    the column beside a sidebar, the form around a whole page. Neither does one that holds
+    MOST_TEXT of the page's text outside links and less text in links, unless its words are
+    of _NEVER or say comment.
+    """
+    linked = [0] * len(elements)
+    total = 0
+    for b in blocks:
+        total += len(b.text) - b.link_chars
+        if b.element >= 0:
+            elements[b.element].text += len(b.text) - b.link_chars
+            linked[b.element] += b.link_chars
+    for i in range(len(elements) - 1, -1, -1):  # what is inside has the greater number
+        above = elements[i].parent
+        if above >= 0:
+            elements[above].text += elements[i].text
+            linked[above] += linked[i]
+    words = _BIT["bad"] | _BIT["comment"]
+    own = [i for i, e in enumerate(elements) if e.hints & _BIT["article"] and not e.hints & _BIT["comment"]]
+    mains = [i for i in own if elements[i].main and elements[i].text]
+    large = [i for i in own if elements[i].text >= ARTICLE_TEXT * total > 0]
+    i = max(mains or large, key=lambda i: elements[i].text, default=-1)
+    while i >= 0:
+        elements[i].hints &= ~(words | _BIT["form"])
+        i = elements[i].parent
+    for i, e in enumerate(elements):
+        if e.text >= MOST_TEXT * total > 0 and e.text > linked[i] and not e.never and not e.hints & _BIT["comment"]:
+            e.hints &= ~(_BIT["bad"] | _BIT["form"])
+    around: list[int] = []
+    for e in elements:
+        around.append(e.hints | (around[e.parent] if e.parent >= 0 else 0))
+    outer: list[int] = []  # the nearest block element
+    for i, e in enumerate(elements):
+        outer.append(i if e.name not in _INLINE else outer[e.parent] if e.parent >= 0 else -1)
+    for b in blocks:
+        if b.element >= 0:
+            b.hints = around[b.element]
+            b.element = outer[b.element]
+            b.tag = elements[b.element].name if b.element >= 0 else "body"
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -283,6 +369,7 @@ def min_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bo
 
 
 def _max_flow(rest: list[int], score: list[float], around: list[dict[int, float]]) -> list[bool]:
+    """The source side by blocking flows over layers; a layer's dead ends are left once."""
     source, sink = -1, -2
     room: dict[int, dict[int, float]] = {source: {}, sink: {}}
     for i in rest:
@@ -292,45 +379,64 @@ def _max_flow(rest: list[int], score: list[float], around: list[dict[int, float]
         room[a][b] = abs(score[i])
         room[b].setdefault(a, 0.0)
     while True:
-        before = {source: source}
+        layer = {source: 0}
         queue = deque([source])
-        while queue and sink not in before:
+        while queue:
             u = queue.popleft()
             for v, free in room[u].items():
-                if free > 1e-12 and v not in before:
-                    before[v] = u
+                if free > 1e-12 and v not in layer:
+                    layer[v] = layer[u] + 1
                     queue.append(v)
-        if sink not in before:
-            return [i in before for i in rest]
-        path, v = [], sink
-        while v != source:
-            path.append((before[v], v))
-            v = before[v]
-        flow = min(room[u][v] for u, v in path)
-        for u, v in path:
-            room[u][v] -= flow
-            room[v][u] = room[v].get(u, 0.0) + flow
+        if sink not in layer:
+            return [i in layer for i in rest]
+        onward = {u: iter(list(room[u])) for u in layer}
+        path = [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0.0) + flow
+                # go on from the first edge that is full now
+                del path[next(k for k, (a, b) in enumerate(steps) if room[a][b] <= 1e-12) + 1 :]
+                continue
+            for v in onward[u]:
+                if room[u][v] > 1e-12 and layer.get(v) == layer[u] + 1:
+                    path.append(v)
+                    break
+            else:
+                path.pop()
+
+
+def _steps_apart(elements: list[Element], a: int, b: int) -> int:
+    """Block elements to be left and entered between two places. Blocks in page order take
+    each element of the tree once down and once up, so all steps of a page are linear."""
+    steps = 0
+    while a != b:
+        if a > b:  # what is inside has the greater number
+            a, b = b, a
+        steps += elements[b].name not in _INLINE
+        b = elements[b].parent
+    return steps
 
 
 def content_of(page: str, weights: np.ndarray) -> tuple[list[Block], list[bool]]:
     """Blocks of a page and which of them are content."""
-    blocks = blocks_of(page)
+    blocks, elements = parsed(page)
     if not blocks:
         return [], []
     scores = np.clip(features(blocks) @ weights, -12, 12).tolist()
     edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
             # nearness in the tree: the fewer steps apart, the stronger
-            a = blocks[i - 1].path
-            shared = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            edges[i - 1, i] = NEXT / (1 + len(a) + len(b.path) - 2 * shared)
-        parent = b.path[:-1]
+            edges[i - 1, i] = NEXT / (1 + _steps_apart(elements, blocks[i - 1].element, b.element))
+        parent = elements[b.element].parent if b.element >= 0 else -2
+        while parent >= 0 and elements[parent].name in _INLINE:
+            parent = elements[parent].parent
         if parent in last:
             key = (last[parent], i)
             edges[key] = edges.get(key, 0.0) + SIBLING / 2

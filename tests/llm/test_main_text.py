@@ -88,3 +88,51 @@ def test_page_without_head_end_keeps_its_article():
 def test_formulas_stay_in_their_paragraph():
     page = "<p>Let <math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac></mrow></math> hold.</p>"
     assert [b.text for b in blocks_of(page)] == ["Let x=1y hold."]
+
+
+LONG = "".join(f"<p>Paragraph {i} of the article tells at some length what happened, and then it ends.</p>" for i in range(5))
+BESIDE = '<nav><a href="/">Home</a> <a href="/b">More</a></nav><div class="sidebar"><p>About the author of these pages, in short.</p><a href="/c">c</a></div>'
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div class="elementor-widget">', "</div>"),
+        ('<div class="container has-sidebar">', "</div>"),
+        ('<article class="post tag-legal">', "</article>"),
+        ('<form method="post" action="x.aspx"><article>', "</article></form>"),
+        ('<form method="post" action="x.aspx"><div>', "</div></form>"),
+        ('<div class="no-sidebar">', "</div>"),
+        ('<div class="site-content sidebar-right"><main>', "</main></div>"),
+        ('<div class="category-social">', "</div>"),
+        ('<article class="category-reviews">', "</article>"),
+        ('<div id="comments-and-text"><main>', "</main></div>"),
+    ],
+)
+@pytest.mark.parametrize("fitted", [False, True])
+def test_wrappers_keep_the_article(spark, before, after, fitted):
+    weights = main_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")) if fitted else _PRIOR
+    wanted = "\n\n".join(b.text for b in blocks_of(LONG))
+    for page in (f"<body>{BESIDE}{before}{LONG}{after}</body>", f"<body>{before}{LONG}{after}{BESIDE}</body>"):
+        assert text_of(page, weights) == wanted
+
+
+def test_comments_and_notices_go_however_long():
+    notice = '<div class="cookie-consent">' + "<p>We use cookies, and this tells at great length for what they are used.</p>" * 12 + "</div>"
+    thread = '<div id="comments">' + '<article class="comment-body"><p>A reader says here what they think of all this, at length.</p></article>' * 12 + "</div>"
+    wanted = "\n\n".join(b.text for b in blocks_of(LONG))
+    assert text_of(f"<body>{notice}<div class=entry>{LONG}</div>{thread}</body>") == wanted
+    assert text_of(f"<body>{notice}<article>{LONG}</article>{thread}</body>") == wanted
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        begin = time.process_time()
+        content_of(page, _PRIOR)
+        return time.process_time() - begin
+
+    for page in (lambda n: "<div>x " * n, lambda n: "<div>" * n + "<li>y</x>" * n, lambda n: "<p>Some words</p>" * n):
+        seconds(page(500))
+        assert seconds(page(16_000)) < 12 * max(seconds(page(4_000)), 0.05)
