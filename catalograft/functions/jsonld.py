@@ -1,8 +1,9 @@
 """JSON-LD: choosing the product node of a page and reading its fields.
 
-A block whose root object is the product, and a block that cannot hold one, are
-decided in the JVM. Only the rest goes to an Arrow helper that walks the document
-in order, because variant objects come back with their keys sorted.
+A block whose root object is the product, a root list or `@graph` whose first product is
+one of its items, and a block that cannot hold a product are decided in the JVM. Only the
+rest goes to an Arrow helper that walks the document in order, because variant objects
+come back with their keys sorted.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ PRODUCT_TYPES = ("Product", "ProductGroup")
 INGREDIENT_KEYS = ("hasIngredient", "ingredient", "ingredients")
 
 _TYPE_NOT_SCALAR = r'"@type"\s*:\s*[\[{]'
+# escapes that may hide a key or a type, and numbers whose text another writer may change
+_HIDES = r"\\u00[2-7]|[0-9][eE][+-]?[0-9]|[0-9.]{16}|Infinity|NaN"
 _FALSY = ("null", "false", '""', "[]", "{}")
 _ZERO = r"^-?0(?:\.0*)?(?:[eE].*)?$"
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
@@ -44,22 +47,58 @@ def block_states(blocks: Column) -> Column:
 
     def state(block: Column) -> Column:
         impossible = ~block.contains("Product") & ~block.contains("\\u")
+        plain_types = ~block.rlike(_TYPE_NOT_SCALAR)
         wrapped = F.try_parse_json(F.concat(F.lit("["), block, F.lit("]")))
-        rooted = bind(
-            wrapped,
-            lambda v: F.try_variant_get(v, '$[0]["@type"]', "string").isin(*PRODUCT_TYPES)
-            & F.try_variant_get(v, "$[1]", "variant").isNull(),
-        )
-        verdict = (
-            F.when(impossible & ~block.rlike(_TYPE_NOT_SCALAR), "none")
-            .when(rooted, "root")
-            .otherwise("open")
+
+        def judged(v: Column) -> Column:
+            alone = F.try_variant_get(v, "$[1]", "variant").isNull()
+            rooted = _is_product(v, '$[0]["@type"]') & alone
+            plain = plain_types & ~block.rlike(_HIDES) & alone
+            return F.when(rooted, block).when(plain, _listed_product(block, v))
+
+        node = F.when(impossible & plain_types, F.lit("")).otherwise(bind(wrapped, judged))
+        return bind(
+            node,
+            lambda n: F.struct(
+                F.when(n == "", "none").when(n.isNotNull(), "root").otherwise("open").alias("verdict"),
+                F.coalesce(F.nullif(n, F.lit("")), block).alias("node"),
+            ),
         )
-        return F.struct(verdict.alias("verdict"), block.alias("node"))
 
     return F.transform(blocks, state)
 
 
+def _is_product(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "string").isin(*PRODUCT_TYPES), F.lit(False))
+
+
+def _listed_product(block: Column, v: Column) -> Column:
+    """Text of the first item of a root list or of the root's `@graph` that is a product.
+
+    Null if something that comes before it, or a member beside the `@graph`, may hold a
+    product as well: document order then decides.
+    """
+
+    def may_hold(value: Column) -> Column:
+        return F.to_json(value).contains("Product")
+
+    def first(items: Column, path: str) -> Column:
+        def at(place: Column) -> Column:
+            clear = ~F.exists(F.slice(items, F.lit(1), F.greatest(place - 1, F.lit(0)).cast("int")), may_hold)
+            text = F.call_function("get_json_object", block, F.concat(F.lit(path + "["), (place - 1).cast("string"), F.lit("]")))
+            return F.when((place > 0) & clear, text)
+
+        return bind(F.array_position(F.transform(items, lambda i: _is_product(i, '$["@type"]')), F.lit(True)), at)
+
+    members = F.try_variant_get(v, "$[0]", "map<string,variant>")
+    beside = F.exists(F.map_values(F.map_filter(members, lambda k, _: k != "@graph")), may_hold)
+    graph = F.try_variant_get(v, '$[0]["@graph"]', "array<variant>")
+    return F.coalesce(
+        bind(graph, lambda g: F.when(g.isNotNull() & ~beside, first(g, "$.@graph"))),
+        bind(F.try_variant_get(v, "$[0]", "array<variant>"), lambda a: F.when(a.isNotNull(), first(a, "$"))),
+    )
+
+
 def _block_walker():
     """The Arrow helper; its functions are local so that workers need no import of ours."""
     types, type_error, count_error = frozenset(PRODUCT_TYPES), TYPE_ERROR, COUNT_ERROR

@@ -2,8 +2,11 @@
 
 import json
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from catalograft.functions import jsonld
 from catalograft.operators.products import PARTS_OF, extract_products
 
 B = "https://shop.example"
@@ -212,3 +215,38 @@ def test_fields_asked_for_decide_what_is_built(spark):
     assert "_groups" in plan_of(everything) and "anchors" in plan_of(everything)
     links = plan_of(extract_products(pages, B, fields=("raw_brand_links",)))
     assert "json" not in links and "marks" not in links
+
+
+LISTS = {
+    # decided without a walk: text keeps the order of its members
+    '[{"@type":"WebPage"},{"@type":"Product","name":"b","brand":"a"}]': ("root", '{"@type":"Product","name":"b","brand":"a"}'),
+    '{"@context":"x","@graph":[{"@type":"ProductGroup","z":1,"a":"é"}]}': ("root", '{"@type":"ProductGroup","z":1,"a":"é"}'),
+    '{"@graph":[{"@type":"Organization"},{"@type":"Product","name":"1"},{"@type":"Product","name":"2"}]}': ("root", '{"@type":"Product","name":"1"}'),
+    # something before or beside it may hold the first product
+    '[{"item":{"@type":"Product","name":"in"}},{"@type":"Product","name":"out"}]': ("open", None),
+    '{"main":{"@type":"Product"},"@graph":[{"@type":"Product"}]}': ("open", None),
+    '[{"x":[{"@type":"Product"}]}]': ("open", None),
+    # what another writer may change, what is no JSON, types that are no plain value
+    '[{"@type":"Product","n":1e400}]': ("open", None),
+    '[{"@type":"Product","n":12345678901234567890}]': ("open", None),
+    '[{"\\u0040type":"Product"}]': ("open", None),
+    '[{"@type":"Product"},]': ("open", None),
+    '[{"@type":["Product"]},{"@type":"Product"}]': ("open", None),
+    "[]": ("none", None),
+    '[{"@type":"Product"}] []': ("open", None),
+    "": ("none", None),
+}
+
+
+def test_lists_and_graphs_without_a_walk(spark):
+    blocks = list(LISTS)
+    states = spark.createDataFrame([(blocks,)], "b array<string>").select(jsonld.block_states(F.col("b")).alias("s")).first()["s"]
+    for block, state in zip(blocks, states, strict=True):
+        verdict, node = LISTS[block]
+        assert state["verdict"] == verdict, block
+        assert state["node"] == (block if node is None else node)
+    # the walk finds the same product, whoever decides
+    walk = jsonld._block_walker()
+    for block, state in zip(blocks, states, strict=True):
+        if state["verdict"] == "root":
+            assert json.loads(walk(pd.Series([[block]]))["node"][0]) == json.loads(state["node"])

@@ -177,6 +177,31 @@ def test_sitemap_job_limit_counts_successes(spark, site, tmp_path, limit, expect
         assert sorted(stored(store)) == ["2", "3", "4"]
 
 
+def test_a_limited_job_parses_each_body_once(spark, site, tmp_path, monkeypatch):
+    parsed = []
+    extract = jobs.extract_products
+
+    def spied(pages, *args):
+        parsed.append([r["url"] for r in pages.select("url").collect()])
+        return extract(pages, *args)
+
+    monkeypatch.setattr(jobs, "extract_products", spied)
+    monkeypatch.setattr(jobs, "_FIRST_LOOK", 1)
+    store = CatalogStore(spark, str(tmp_path))
+    jobs.run(store, site, B, T1, strategy="sitemap", limit=3)
+    assert sorted(stored(store)) == ["2", "3", "4"]
+    urls = [u for stretch in parsed for u in stretch]
+    assert len(parsed) > 1 and len(urls) == len(set(urls))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9])
+def test_take_success_cuts_inside_ties_and_nulls(spark, n):
+    rows = [(1, None), (1, None), (1, "bad"), (None, None), (2, None), (2, None), (3, None)]
+    pages = spark.createDataFrame(rows, "at int, extract_error string").repartition(3)
+    got = [r["at"] for r in queues.take_success(pages, n, "at").collect()]
+    assert sorted(got, key=lambda a: a or 0) == [None, 1, 1, 2, 2, 3][:n]
+
+
 def test_stream_equals_batch_and_repeats_change_nothing(spark, site, tmp_path):
     folder = str(tmp_path / "pages")
     site.repartition(3).write.parquet(folder)
