@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER_CASE, _LOWER_CASE)
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with all columns but `used` under neutral names, and how to name them back.
+
+    An operator that adds columns of its own can then not meet one of the same name, in
+    whatever case it is written.
+    """
+    prefix = "_kept_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    names = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c not in used}
+    back = {neutral: c for c, neutral in names.items()}
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.toDF(*(back.get(c, c) for c in df.columns))
+
+    return docs.toDF(*(names.get(c, c) for c in docs.columns)), named
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; of the empty text for a null id."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

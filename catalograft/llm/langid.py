@@ -245,7 +245,7 @@ def _first_of_each(rows: DataFrame, by: list[str], most: int) -> DataFrame:
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All rows (every column) plus lang_pred and lang_score.
+    """All rows (every column) plus lang_pred and lang_score; columns named so give way.
 
     Every byte position of a text is labelled by the network run over its word; a document's
     probabilities are the means over its positions. A word's sums depend on the word alone,
@@ -254,6 +254,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     Null text, no letter or no network: `und` with score 0. Very long texts: all words count.
     Repeated rows: the same answer. No rows: no rows.
     """
+    docs = docs.drop("lang_pred", "lang_score")
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(net)
         for batch in batches:

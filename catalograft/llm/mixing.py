@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalograft.llm.common import WORD
+from catalograft.llm.common import WORD, set_aside
 from catalograft.session import settle
 
 #: Weights of the sources in code point order, repeated as often as needed.
@@ -131,7 +131,10 @@ def text_key(text: Column) -> Column:
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of the mix: each document as often as taken, then its first words still wanted."""
+    """The rows of the mix: each document as often as taken, then its first words still wanted.
+
+    Columns but doc_id and text may have any name and type."""
+    docs, named = set_aside(docs, "doc_id", "text")
     taken = mixed.groupBy("doc_id", "text_key").agg(F.sum("taken").alias("__taken"), F.first("size").alias("__size"))
     taken = taken.where("__taken > 0").withColumnsRenamed({"doc_id": "__i", "text_key": "__t"})
     keyed = docs.withColumn("__k", text_key(docs["text"]))
@@ -141,7 +144,7 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     words = F.expr("transform(sequence(0, cast((__taken - 1) div __size as int)), i -> least(__size, __taken - i * __size))")
     each = met.withColumn("__w", F.explode(words))
     text = F.when(F.col("__w") == F.col("__size"), F.col("text")).otherwise(take_words(F.col("text"), F.col("__w")))
-    return each.withColumn("text", text).select(docs.columns)
+    return named(each.withColumn("text", text).select(docs.columns))
 
 
 def take_words(text: Column, n: Column) -> Column:

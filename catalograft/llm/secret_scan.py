@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalograft.functions.stages import pinned
+from catalograft.llm.common import set_aside
 from catalograft.session import settle
 
 #: Patterns of the certain kinds, with the least length of what is kept and its group.
@@ -96,8 +97,10 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     characters its reach touches, so a text with very many parts is split over buckets.
 
     Null text: no spans. Empty table: no rows. Repeated rows (also of a null doc_id) are the
-    same text and get the same spans.
+    same text and get the same spans. Other columns may have any name and type; those named
+    like the results give way to them.
     """
+    docs, named = set_aside(docs.drop("secret_base", "secret_linked"), "doc_id", "text")
     kept = docs.columns
     text = F.coalesce(docs["text"], F.lit(""))
     staged = docs.select(*(docs[c] for c in kept), text.alias("__scanned"))
@@ -116,7 +119,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     }
     key = F.md5("__scanned")
     # a row without weak parts joins nothing; a key of its own spreads such rows
-    alone = F.concat(F.lit("-"), F.xxhash64(*kept).cast("string"))
+    alone = F.concat(F.lit("-"), F.xxhash64("doc_id", "text").cast("string"))
     keyed = F.when(F.size("__weak") > 0, key).otherwise(alone)
     found = pinned(staged, [*kept, "__scanned"], **parts).withColumn("__key", keyed)
     weak = settle(
@@ -129,10 +132,12 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
     linked = _linked(weak, scope).groupBy("__key").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__linked"))
     joined = found.join(linked.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left")
-    return joined.select(
-        *kept,
-        F.array_sort("__base").alias("secret_base"),
-        F.coalesce(F.array_sort("__linked"), empty).alias("secret_linked"),
+    return named(
+        joined.select(
+            *kept,
+            F.array_sort("__base").alias("secret_base"),
+            F.coalesce(F.array_sort("__linked"), empty).alias("secret_linked"),
+        )
     )
 
 

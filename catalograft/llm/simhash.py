@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalograft.llm.common import local_components, words
+from catalograft.llm.common import local_components, set_aside, words
 from catalograft.llm.components import components
 from catalograft.session import settle
 
@@ -310,10 +310,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of each group the one of smallest id, null ids last."""
+    """The rows of `docs` that stay: of each group the one of smallest id, null ids last.
+
+    Columns but doc_id and text may have any name and type."""
+    docs, named = set_aside(docs, "doc_id", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k")))
     stay = found.groupBy("component").agg(first.alias("s")).select(F.col("s.i").alias("__i"), F.col("s.k").alias("__t")).distinct()
     keyed = docs.withColumn("__k", text_key(docs["text"]))
     met = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__t")), "left_semi")
     copy = Window.partitionBy("doc_id", "__k").orderBy(F.lit(0))
-    return met.withColumn("__n", F.row_number().over(copy)).where("__n = 1").select(docs.columns)
+    return named(met.withColumn("__n", F.row_number().over(copy)).where("__n = 1").select(docs.columns))

@@ -48,3 +48,28 @@ def test_run_writes_all_stages(spark):
 
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_extra_columns_of_any_name_and_type(spark, make, tmp_path):
+    """Every stage carries columns named like its own, also maps, and answers as without them."""
+    names = [
+        "lang_pred", "LANG_SCORE", "__k", "__n", "__i", "__t", "__c", "__w", "__taken", "__size", "__key", "__scanned", "__base", "__weak", "__linked",
+        "secret_base", "secret_linked", "size", "taken", "text_key", "component", "fp", "task", "ids", "start", "_kept_0", "a.b", "Bucket",
+    ]
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = make((9_001, "the user jane has password=hunter22 and so on"), (9_001, "the user jane has password=hunter22 and so on"), (9_002, None))
+    plain = base.unionByName(extra.select(base.columns))
+    crowded = plain.selectExpr("*", *(f"concat('x', doc_id) as `{n}`" for n in names), "map('k', text) as m", "array(map(1, source)) as n")
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = crowded.columns
+        for at, docs in (("p", plain), ("c", crowded)):
+            stage(spark, docs, "").write.parquet(f"{tmp_path}/{at}{number}")
+        before, crowded = crowded, spark.read.parquet(f"{tmp_path}/c{number}")
+        plain = spark.read.parquet(f"{tmp_path}/p{number}")
+        if name != "packing":
+            assert crowded.columns == columns
+            assert crowded.where("`lang_pred` <> concat('x', doc_id) or `a.b` <> concat('x', doc_id)").isEmpty()
+            assert sorted(map(str, crowded.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        else:
+            lengths = [df.selectExpr("sum(length)", "count(distinct doc_id)").first() for df in (plain, crowded)]
+            assert lengths[0] == lengths[1]
