@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,20 +12,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalograft.llm.common import mix64
 from catalograft.llm.vectors import fit_sample, matrix, usable
 from catalograft.session import settle
 
-#: Vectors the tree is fitted on.
+#: Vectors a tree is fitted on: of the table for the first level, of a cell for the next ones.
 FIT_ROWS = 16_384
 BRANCHES = 8
-#: Rows a leaf should hold; the tree has at most FIT_ROWS / 16 leaves.
+#: Rows a leaf should hold.
 LEAF_ROWS = 256
+#: Leaves wanted of one tree at most; its leaves are cells with trees of their own while they are large.
+TREE_LEAVES = FIT_ROWS // 16
+#: A cell of more than so many leaves' rows gets a tree.
+SPLIT = 16
+#: Levels of trees at most; cells are numbered in _BITS bits a level.
+LEVELS = 4
+_BITS = 15
 #: Queries whose true neighbours are found among all rows to calibrate the leaf visits.
 CALIBRATION = 64
 #: Recall wanted on those; above the 0.9 promised, for queries differ.
 RECALL = 0.96
 #: Rows of a block of one leaf.
 BLOCK_ROWS = 2_048
+#: Rows of one cell, or queries at one cell, that a task gathers.
+PART_ROWS = 65_536
 
 
 @dataclass
@@ -141,20 +152,179 @@ class _Kept:
         )
 
 
+def _cut(cell: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """Rows as blocks of one cell each."""
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    blocks = []
+    for begin, end in zip(starts, [*starts[1:], len(order)], strict=True):
+        for s in range(begin, end, BLOCK_ROWS):
+            part = order[s : min(s + BLOCK_ROWS, end)]
+            blocks.append((int(cell[part[0]]), ids[part].astype("<i8").tobytes(), x[part].astype("<f8").tobytes()))
+    return blocks
+
+
+def _visits_of(tree: Tree, visits: int, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(leaf, ids, vectors) of the queries that visit a leaf, at most 1,024 together."""
+    for s in range(0, len(ids), 1024):
+        to: dict[int, list[int]] = {}
+        for i in range(s, min(s + 1024, len(ids))):
+            for _, leaf in zip(range(visits), tree.visit(x[i]), strict=False):
+                to.setdefault(leaf, []).append(i)
+        for leaf, i in to.items():
+            yield leaf, ids[i].astype("<i8").tobytes(), x[i].astype("<f8").tobytes()
+
+
+def _packed(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows (long, binary, binary)."""
+    columns = zip(*rows, strict=True) if rows else ([], [], [])
+    types = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _gathered(table: pa.Table, ids: str, x: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, x = (b"".join(table.column(c).to_pylist()) for c in (ids, x))
+    return np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f8").reshape(-1, dim)
+
+
+def _tree(row: pa.Table) -> tuple[int, Tree]:
+    """The number before a cell's children, and its tree."""
+    return (row.column("of")[0].as_py() + 1) << _BITS, pickle.loads(row.column("tree")[0].as_py())
+
+
+def _trees_of(blocks: DataFrame, level: int, leaf_rows: int, tree_leaves: int, dim: int) -> DataFrame | None:
+    """(cell, n, tree) of the large cells made at a level; None where there are none.
+
+    A tree is fitted in one task on about FIT_ROWS rows of its cell, drawn by block and place.
+    Cells whose rows are all alike get none.
+    """
+    mine = blocks.where(F.col("level") == level)
+    sizes = mine.groupBy("cell").agg(F.sum(F.length("ids") / 8).cast("long").alias("n"))
+    sizes = settle(sizes.where(F.col("n") > SPLIT * leaf_rows))
+    if sizes.isEmpty():
+        return None
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n, block = (batch.column(c).to_pylist() for c in range(3))
+            picked = []
+            for c, m, number, x in zip(cell, n, block, batch.column(3), strict=True):
+                x = np.frombuffer(x.as_py(), "<f8").reshape(-1, dim)
+                place = np.uint64(number * BLOCK_ROWS % 2**64) + np.arange(len(x), dtype=np.uint64)
+                picked.append((c, m, x[mix64(place) < np.uint64(min(FIT_ROWS / m, 1) * (2**64 - 2**12))].tobytes()))
+            columns = zip(*picked, strict=True) if picked else ([], [], [])
+            types = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["cell", "n", "x"])
+
+    def fit(drawn: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(drawn.column("x").to_pylist()), "<f8").reshape(-1, dim)
+        cell, n = (drawn.column(c)[0].as_py() for c in ("cell", "n"))
+        leaves = max(2, min(n // leaf_rows, tree_leaves))
+        tree = Tree.fit(x, -(-len(x) // leaves)) if len(x) else Tree(leaves=1)
+        rows = [(cell, n, pickle.dumps(tree))] if tree.leaves > 1 else []
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        types = (pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["cell", "n", "tree"])
+
+    drawn = mine.join(sizes, "cell").select("cell", "n", "block", "x").mapInArrow(draw, "cell long, n long, x binary")
+    trees = settle(drawn.groupBy("cell").applyInArrow(fit, "cell long, n long, tree binary"))
+    return None if trees.isEmpty() else trees
+
+
+def _deeper(blocks: DataFrame, trees: DataFrame, level: int, dim: int) -> DataFrame:
+    """Blocks with the rows of cells that have a tree in its leaves; a large cell is many tasks."""
+
+    def down(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        cut = []
+        if rows.num_rows and tree.num_rows:
+            first, mine = _tree(tree)
+            ids, x = _gathered(rows, "ids", "x", dim)
+            cut = _cut(first + mine.leaf_of(x), ids, x)
+        return pa.Table.from_batches([_packed(cut, ("cell", "ids", "x"))])
+
+    parts = F.ceil(F.col("n") / PART_ROWS)
+    known = blocks.join(trees.select("cell", "n"), "cell", "left")
+    moved = known.where("n is not null").withColumn("part", F.pmod(F.xxhash64("block"), parts))
+    dealt = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("of_part")
+    copies = trees.select(F.col("cell").alias("of"), dealt, "tree")
+    moved = (
+        moved.select("cell", "part", "ids", "x")
+        .groupBy("cell", "part")
+        .cogroup(copies.groupBy("of", "of_part"))
+        .applyInArrow(down, "cell long, ids binary, x binary")
+    )
+    stay = known.where("n is null").select("cell", "ids", "x", "level")
+    return _numbered(stay.union(moved.withColumn("level", F.lit(level + 1))))
+
+
+def _numbered(blocks: DataFrame) -> DataFrame:
+    return settle(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _route_deeper(routed: DataFrame, trees: DataFrame, visits: int, parts: int, dim: int) -> DataFrame:
+    """Queries at cells that have a tree go on to the leaves they visit there."""
+
+    def visit(queries: pa.Table, tree: pa.Table) -> pa.Table:
+        rows = []
+        if queries.num_rows and tree.num_rows:
+            first, mine = _tree(tree)
+            ids, q = _gathered(queries, "queries", "q", dim)
+            rows = [(first + leaf, i, v) for leaf, i, v in _visits_of(mine, visits, ids, q)]
+        return pa.Table.from_batches([_packed(rows, ("cell", "queries", "q"))])
+
+    known = routed.join(trees.select("cell", F.lit(True).alias("split")), "cell", "left")
+    going = known.where("split").withColumn("part", F.pmod(F.xxhash64("queries"), F.lit(parts)))
+    present = going.select(F.col("cell").alias("of"), F.col("part").alias("of_part")).distinct()
+    copies = present.join(trees.select(F.col("cell").alias("c"), "tree"), F.col("of") == F.col("c")).drop("c")
+    gone = (
+        going.select("cell", "part", "queries", "q")
+        .groupBy("cell", "part")
+        .cogroup(copies.groupBy("of", "of_part"))
+        .applyInArrow(visit, "cell long, queries binary, q binary")
+    )
+    return known.where("split is null").select("cell", "queries", "q").union(gone)
+
+
+def _place_deeper(truth: DataFrame, trees: DataFrame) -> DataFrame:
+    """True neighbours with the leaf they lie in and its place in their query's order of visits."""
+
+    def place(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        out = rows.to_pylist()
+        if tree.num_rows:
+            first, mine = _tree(tree)
+            for r in out:
+                leaf = int(mine.leaf_of(np.array([r["v"]], np.float64))[0])
+                r["place"] = 1 + next(p for p, at in enumerate(mine.visit(np.array(r["q"], np.float64))) if at == leaf)
+                r["cell"] = first + leaf
+        else:
+            for r in out:
+                r["place"] = 1
+        return pa.Table.from_pylist(out, rows.schema)
+
+    keep = trees.join(truth.select("cell").distinct(), "cell", "left_semi").select(F.col("cell").alias("of"), "tree")
+    return truth.groupBy("cell").cogroup(keep.groupBy("of")).applyInArrow(place, truth.schema)
+
+
 def nearest(
     rows: DataFrame,
     queries: DataFrame,
     k: int = 10,
     recall: float = RECALL,
     leaf_rows: int = LEAF_ROWS,
+    tree_leaves: int = TREE_LEAVES,
     report: dict | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest rows of each query by distance.
 
-    In: two tables (vec_id, embedding). The tree is fitted on FIT_ROWS vectors; every row is
-    put in its leaf. CALIBRATION queries are compared with all rows, and leaf visits are
-    widened until the leaves visited hold the share `recall` of their true neighbours; so many
-    leaves are visited for each query. `report`, if given, gets leaves, visits and that recall.
+    In: two tables (vec_id, embedding). The first tree is fitted on FIT_ROWS vectors and has
+    about `tree_leaves` leaves at most; every row is put in its leaf. Leaves that are still
+    large become cells with a tree of their own, fitted in a task and kept in a table, so
+    leaves grow with the rows while the driver holds the first tree alone. CALIBRATION queries
+    are compared with all rows, and leaf visits are widened, level by level, until the leaves
+    visited hold the share `recall` of their true neighbours; so many leaves are visited for
+    each query. Rows of one leaf and queries at one cell are dealt in parts of about
+    PART_ROWS. `report`, if given, gets leaves (of the first tree), visits (of each level),
+    levels and that recall.
 
     Rows and queries that are null, zero or hold null or non-finite components take no part,
     nor do null ids and vectors of another length than most of the sample. A row with the
@@ -173,7 +343,7 @@ def nearest(
     rows, queries = (t.where(F.size("embedding") == dim) for t in (rows, queries))
     queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sample = fit_sample(rows, "embedding", FIT_ROWS)
-    leaves = max(1, min(n // leaf_rows, FIT_ROWS // 16))
+    leaves = max(1, min(n // leaf_rows, tree_leaves))
     tree = Tree.fit(sample, -(-len(sample) // leaves))
 
     probes = [
@@ -182,63 +352,68 @@ def nearest(
     ]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by leaf in blocks."""
+        """Rows by leaf in blocks, made of many batches."""
+        held, many = [], 0
+
+        def taken() -> pa.RecordBatch:
+            ids, x = (np.concatenate(v) for v in zip(*held, strict=True))
+            return _packed(_cut(tree.leaf_of(x), ids, x), ("cell", "ids", "x"))
+
         for batch in batches:
-            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            leaf = tree.leaf_of(x)
-            blocks = []
-            for one in np.unique(leaf):
-                mine = np.flatnonzero(leaf == one)
-                for s in range(0, mine.size, BLOCK_ROWS):
-                    part = mine[s : s + BLOCK_ROWS]
-                    blocks.append((one, ids[part].astype("<i8").tobytes(), x[part].astype("<f8").tobytes()))
-            columns = zip(*blocks, strict=True) if blocks else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                ["leaf", "ids", "x"],
-            )
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))))
+                many += batch.num_rows
+            if many >= PART_ROWS:
+                yield taken()
+                held, many = [], 0
+        if held:
+            yield taken()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(k)
         for batch in batches:
-            for ids, x in _blocks(batch.column(1), batch.column(2), dim):
+            for ids, x in _blocks(batch.column(0), batch.column(1), dim):
                 for q, v in probes:
                     kept.add(q, *_best(ids, x, v, q, k))
         yield kept.taken()
 
-    blocks = settle(rows.mapInArrow(index, "leaf long, ids binary, x binary"))
+    blocks = _numbered(rows.mapInArrow(index, "cell long, ids binary, x binary").withColumn("level", F.lit(1)))
+    deeper: list[DataFrame] = []
+    while len(deeper) + 1 < LEVELS:
+        trees = _trees_of(blocks, len(deeper) + 1, leaf_rows, tree_leaves, dim)
+        if trees is None:
+            break
+        deeper.append(trees)
+        blocks = _deeper(blocks, trees, len(deeper), dim)
+
     # true neighbours of the probes, k of each; where they lie tells how many leaves to visit
-    truth = _top(blocks.mapInArrow(probe, schema), k).join(rows.withColumnRenamed("vec_id", "v"), F.col("vec_id") == F.col("v"))
+    truth = _top(blocks.select("ids", "x").mapInArrow(probe, schema), k)
+    truth = truth.join(rows.withColumnRenamed("vec_id", "v"), F.col("vec_id") == F.col("v"))
     truth = truth.select("query_id", "embedding").collect()
-    places = []
     order = {q: {leaf: p for p, leaf in enumerate(tree.visit(v))} for q, v in probes}
-    if truth:
-        leaf = tree.leaf_of(np.array([t["embedding"] for t in truth], np.float64))
-        places = sorted(order[t["query_id"]][at] + 1 for t, at in zip(truth, leaf.tolist(), strict=True))
-    visits = 1
-    while places and sum(p <= visits for p in places) < recall * len(places):
-        visits += 1
+    leaf = tree.leaf_of(np.array([t["embedding"] for t in truth], np.float64)).tolist() if truth else []
+    places = [[order[t["query_id"]][at] + 1 for t, at in zip(truth, leaf, strict=True)]]
+    if deeper and truth:
+        vector = dict(probes)
+        at = [
+            (number, vector[t["query_id"]].tolist(), [float(v) for v in t["embedding"]], cell, 1)
+            for number, (t, cell) in enumerate(zip(truth, leaf, strict=True))
+        ]
+        at = spark.createDataFrame(at, "number long, q array<double>, v array<double>, cell long, place long")
+        for trees in deeper:
+            at = settle(_place_deeper(at, trees))
+            places.append([r["place"] for r in at.orderBy("number").select("place").collect()])
+    visits = _widened(places, recall, 1 + len(deeper))
     if report is not None:
-        got = sum(p <= visits for p in places) / len(places) if places else 1.0
-        report.update(leaves=tree.leaves, visits=visits, recall=got)
+        held = [all(p <= v for p, v in zip(way, visits, strict=False)) for way in zip(*places, strict=True)]
+        got = sum(held) / len(held) if held else 1.0
+        report.update(leaves=tree.leaves, visits=visits, levels=len(visits), recall=got)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries by the leaves they visit."""
         for batch in batches:
-            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            for s in range(0, len(ids), 1024):
-                to: dict[int, list[int]] = {}
-                for i in range(s, min(s + 1024, len(ids))):
-                    for _, leaf in zip(range(visits), tree.visit(x[i]), strict=False):
-                        to.setdefault(leaf, []).append(i)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(to), pa.int64()),
-                        pa.array([ids[i].astype("<i8").tobytes() for i in to.values()], pa.binary()),
-                        pa.array([x[i].astype("<f8").tobytes() for i in to.values()], pa.binary()),
-                    ],
-                    ["leaf", "queries", "q"],
-                )
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield _packed(list(_visits_of(tree, visits[0], ids, matrix(batch.column(1)))), ("cell", "queries", "q"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(k)
@@ -251,11 +426,35 @@ def nearest(
                     yield kept.taken()
         yield kept.taken()
 
-    routed = queries.mapInArrow(route, "leaf long, queries binary, q binary")
-    met = blocks.join(routed, "leaf").select("ids", "x", "queries", "q")
+    routed = queries.mapInArrow(route, "cell long, queries binary, q binary")
+    parts = max(1, queries.count() // PART_ROWS) if deeper else 1
+    for trees, wide in zip(deeper, visits[1:], strict=True):
+        routed = settle(_route_deeper(routed, trees, wide, parts, dim))
+
+    # leaves that stayed large, of vectors that are alike, are searched in parts
+    hot = blocks.groupBy("cell").agg(F.ceil(F.sum(F.length("ids") / 8) / PART_ROWS).alias("parts"))
+    hot = settle(hot.where("parts > 1"))
+    split = F.coalesce("parts", F.lit(1).cast("long"))
+    held = blocks.join(hot, "cell", "left").select("cell", F.pmod(F.xxhash64("block"), split).alias("part"), "ids", "x")
+    asked = routed.join(hot, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), split - 1)))
+    met = held.join(asked, ["cell", "part"]).select("ids", "x", "queries", "q")
     return _top(met.mapInArrow(search, schema), k).select("query_id", "rank", "vec_id", "score")
 
 
+def _widened(places: list[list[int]], recall: float, levels: int) -> list[int]:
+    """Leaves to visit at each level, so that after the last the share `recall` is still held."""
+    left, visits = list(range(len(places[0]))), []
+    for level in range(levels):
+        at = places[level] if level < len(places) else []
+        wanted = recall ** ((level + 1) / levels) * len(places[0])
+        wide = 1
+        while at and sum(at[i] <= wide for i in left) < min(wanted, len(left)):
+            wide += 1
+        left = [i for i in left if at[i] <= wide] if at else left
+        visits.append(wide)
+    return visits
+
+
 def _blocks(ids: pa.Array, x: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, v in zip(ids, x, strict=True):
         yield np.frombuffer(i.as_py(), "<i8"), np.frombuffer(v.as_py(), "<f8").reshape(-1, dim)

@@ -85,7 +85,7 @@ def test_search_recall_scores_and_ranks(spark):
     report = {}
     got = ann.nearest(table(spark, rows), table(spark, queries), leaf_rows=32, report=report).collect()
     truth = brute(rows, queries, 10)
-    assert report["leaves"] > 20 and report["visits"] < report["leaves"] and report["recall"] >= ann.RECALL
+    assert report["leaves"] > 20 and report["visits"][0] < report["leaves"] and report["levels"] == 1 and report["recall"] >= ann.RECALL
     hits = 0
     for q, wanted in truth.items():
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
@@ -96,6 +96,36 @@ def test_search_recall_scores_and_ranks(spark):
     assert hits >= 0.9 * 10 * len(truth) and {r["query_id"] for r in got} == set(truth)
 
 
+def test_search_in_trees_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    # a hot spot of half of all rows, one vector many times, and the rest wide apart
+    x = np.concatenate([rng.normal(size=(900, 6)), 4 + rng.normal(scale=0.02, size=(1_200, 6)), np.full((300, 6), -7.0)])
+    rows = [(i, v.astype(np.float32)) for i, v in enumerate(x)]
+    queries = [r for r in rows if r[0] % 20 == 0] + [(9_001, np.full(6, 0.5, np.float32))]
+    monkeypatch.setattr(ann, "PART_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ann, "SPLIT", 4)
+    report = {}
+    got = ann.nearest(table(spark, rows), table(spark, queries), leaf_rows=8, tree_leaves=6, report=report).collect()
+    assert report["levels"] >= 3 and report["recall"] >= ann.RECALL
+    truth = brute(rows, queries, 10)
+    exact = {q: dict(brute(rows, [(q, v)], 3_000)[q]) for q, v in queries}
+    hits = 0
+    for q, wanted in truth.items():
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, 11)) and len({m[1] for m in mine}) == 10
+        assert all(exact[q][m[1]] == m[2] for m in mine)
+        # equally near rows count alike
+        hits += sum(m[2] <= wanted[-1][1] for m in mine)
+    assert hits >= 0.9 * 10 * len(truth)
+
+
+def test_visits_are_widened_level_by_level():
+    assert ann._widened([[1, 1, 2, 9]], 0.75, 1) == [2]
+    assert ann._widened([[1, 1, 1, 1], [1, 2, 3, 4]], 1.0, 2) == [1, 4]
+    assert ann._widened([[]], 0.96, 3) == [1, 1, 1]
+
+
 def test_search_ties_copies_and_few_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 400)] + [(1_000, [1.0, 2.5])]
     got = ann.nearest(table(spark, rows), table(spark, rows[:1] + rows[-1:])).collect()
