@@ -109,9 +109,13 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, query: np.ndarray, own: int | None, k: int):
+def _rough(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Squared distances less the queries' own squares, a line a query; for choosing only."""
+    return (x**2).sum(axis=1)[None, :] - 2 * queries @ x.T
+
+
+def _best(ids: np.ndarray, x: np.ndarray, query: np.ndarray, own: int | None, k: int, rough: np.ndarray):
     """(ids, distances) of the k nearest rows, ties to the smaller id; exact distances."""
-    rough = (x**2).sum(axis=1) - 2 * x @ query
     if own is not None:
         rough = np.where(ids == own, np.inf, rough)
     if rough.size > k:
@@ -138,6 +142,18 @@ class _Kept:
             ids, scores = ids[order], scores[order]
         self.found[query] = ids, scores
 
+    def add_block(self, ids: np.ndarray, x: np.ndarray, queries: list[int], q: np.ndarray) -> None:
+        """Rows of a block for each query; none where all lie beyond the k kept already."""
+        rough, squares = _rough(x, q), (q**2).sum(axis=1)
+        worst = np.array([self._worst(own) for own in queries]) ** 2
+        slack = 1e-9 * (1 + squares + np.where(np.isfinite(worst), worst, 0))
+        for at in np.flatnonzero(rough.min(axis=1) + squares <= worst + slack).tolist():
+            self.add(queries[at], *_best(ids, x, q[at], queries[at], self.k, rough[at]))
+
+    def _worst(self, query: int) -> float:
+        scores = self.found[query][1] if query in self.found else ()
+        return scores[-1] if len(scores) >= self.k else np.inf
+
     def taken(self) -> pa.RecordBatch:
         found, self.found = self.found, {}
         query = [np.full(len(i), q, np.int64) for q, (i, _) in found.items()]
@@ -373,8 +389,8 @@ def nearest(
         kept = _Kept(k)
         for batch in batches:
             for ids, x in _blocks(batch.column(0), batch.column(1), dim):
-                for q, v in probes:
-                    kept.add(q, *_best(ids, x, v, q, k))
+                if probes:
+                    kept.add_block(ids, x, [q for q, _ in probes], np.stack([v for _, v in probes]))
         yield kept.taken()
 
     blocks = _numbered(rows.mapInArrow(index, "cell long, ids binary, x binary").withColumn("level", F.lit(1)))
@@ -420,8 +436,7 @@ def nearest(
         for batch in batches:
             pairs = zip(_blocks(batch.column(0), batch.column(1), dim), _blocks(batch.column(2), batch.column(3), dim), strict=True)
             for (ids, x), (queries, q) in pairs:
-                for own, v in zip(queries.tolist(), q, strict=True):
-                    kept.add(own, *_best(ids, x, v, own, k))
+                kept.add_block(ids, x, queries.tolist(), q)
                 if len(kept.found) > 20_000:
                     yield kept.taken()
         yield kept.taken()

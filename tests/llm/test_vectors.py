@@ -120,6 +120,18 @@ def test_search_in_trees_of_cells(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(truth)
 
 
+def test_blocks_of_ties_keep_the_nearest():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(900, 4)) * 3) / 3 * 1000
+    ids, kept = rng.permutation(900), ann._Kept(10)
+    for s in range(0, 900, 30):
+        kept.add_block(ids[s : s + 30], x[s : s + 30], ids[:50].tolist(), x[:50])
+    for own, v in zip(ids[:50].tolist(), x[:50], strict=True):
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        wanted = [i for i in np.lexsort((ids, d)) if ids[i] != own][:10]
+        assert kept.found[own][0].tolist() == ids[wanted].tolist() and kept.found[own][1].tolist() == d[wanted].tolist()
+
+
 def test_visits_are_widened_level_by_level():
     assert ann._widened([[1, 1, 2, 9]], 0.75, 1) == [2]
     assert ann._widened([[1, 1, 1, 1], [1, 2, 3, 4]], 1.0, 2) == [1, 4]
