@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalograft.functions import jsonld
+from catalograft.operators import products
 from catalograft.operators.products import PARTS_OF, extract_products
 
 B = "https://shop.example"
@@ -250,3 +251,19 @@ def test_lists_and_graphs_without_a_walk(spark):
     for block, state in zip(blocks, states, strict=True):
         if state["verdict"] == "root":
             assert json.loads(walk(pd.Series([[block]]))["node"][0]) == json.loads(state["node"])
+
+
+def test_anchors_nobody_asked_for_are_not_read(spark):
+    """Brands alone look at brand anchors; a target may be written with references."""
+    html = (
+        '<a title="S" href="/ingredients/s"></a><a href="&#47;brand/x"> X </a><a href="/other">/brand</a>'
+        "<a data-name='/brand \x01' href=/brand/y\x01z title=t>Y</a>"
+    )
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    parts = products.page_parts(pages, B, parts=("brands",))
+    assert [tuple(b) for b in parts.first()["brands"]] == [(f"{B}/brand/x", "X"), (f"{B}/brand/y\x01z", "Y")]
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    # once, to tell brand anchors from others
+    assert plan.count(products.INGREDIENT_PREFIX) == 1
+    every = products.page_parts(pages, B).first()
+    assert [e["name"] for e in every["events"]] == ["S", "S"]
