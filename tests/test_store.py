@@ -3,13 +3,15 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalograft.operators import fetchlog, merges, queues
 from catalograft.plans import jobs
 from catalograft.schemas import BRANDS, PRODUCT_INGREDIENTS, PRODUCTS
 from catalograft.sources import storage_json
-from catalograft.sources.pages import decode_captures, lookup_pages, stream_pages
+from catalograft.sources.pages import current, decode_captures, lookup_pages, stream_pages
 from catalograft.sources.store import CatalogStore
+from catalograft.streaming import ingest
 from catalograft.streaming.ingest import ingest_stream
 
 B = "https://shop.example"
@@ -296,3 +298,26 @@ def test_a_null_page_id_counts_if_it_is_the_only_capture(spark):
     pages = spark.createDataFrame([(None, "a", "x"), (None, "b", "old"), (3, "b", "new"), (None, "c", None)], "page_id bigint, url string, html string")
     asked = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
     assert {r["url"]: r["html"] for r in lookup_pages(asked, pages).collect()} == {"a": "x", "b": "new", "c": None}
+
+
+def test_a_stream_moves_bodies_once(spark):
+    """The bodies of a batch are chosen as `current` chooses them, by one join."""
+    rows = [("a", 1, "x"), ("a", 2, None), ("b", 3, "y"), ("b", 3, "y"), ("c", None, "z"), ("d", 1, "old"), ("d", 4, "new")]
+    pages = spark.createDataFrame(rows, "url string, page_id long, html string")
+    fresh = pages.groupBy("url").agg(F.max("page_id").alias("page_id")).where("url <> 'e'").localCheckpoint()
+    found = ingest.bodies_of(fresh, pages)
+    wanted = current(pages.join(fresh, "url", "left_semi"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.select(*found.columns).collect()), key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_rosters_are_ordered_without_a_comparator(spark):
+    products = spark.createDataFrame([(1, "u")], "id long, url string").selectExpr(
+        "id", "url", "'n' name", "'b' brand_name", "'d' description", "'i' image_url", "1D rating_value", "1L rating_count",
+        "array('c') categories", "'{}' json_ld", "now() scraped_at",
+    )
+    entries = spark.createDataFrame([(1, None, "z"), (1, 2, "b"), (1, 2, "c"), (1, 1, "a")], "product_id long, position int, ingredient_name string")
+    entries = entries.selectExpr("*", "'u' ingredient_url", "map('k', 'v') extra").coalesce(1)
+    found = queues.read_products(products, entries)
+    assert [i["name"] for i in found.first()["ingredients"]] == ["a", "b", "c", "z"]
+    assert "lambdafunction(CASE WHEN" not in found._jdf.queryExecution().optimizedPlan().toString()
