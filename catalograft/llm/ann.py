@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalograft.llm.common import mix64
 from catalograft.llm.vectors import fit_sample, matrix, usable
@@ -34,8 +35,16 @@ CALIBRATION = 64
 RECALL = 0.96
 #: Rows of a block of one leaf.
 BLOCK_ROWS = 2_048
-#: Rows of one cell, or queries at one cell, that a task gathers.
+#: Rows of one cell that a task gathers.
 PART_ROWS = 65_536
+#: Queries whose visits are found together.
+CHUNK = 1_024
+#: Bytes of the queries, and of the neighbours kept of each, that a task holds.
+SHARE_BYTES = 1 << 27
+#: Rows that pass one task of the search, where that is more than two tasks a core.
+PASS_ROWS = 1 << 20
+#: Kinds of rows that meet in a task, in the order they come.
+_VECTORS, _VISITS, _THINGS = range(3)
 
 
 @dataclass
@@ -168,7 +177,16 @@ class _Kept:
         )
 
 
-def _cut(cell: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+def _width(vectors: DataFrame) -> str:
+    """The numbers vectors are kept in: as narrow as those of their column."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+
+
+def _doubles(x: bytes, width: str, dim: int) -> np.ndarray:
+    return np.frombuffer(x, width).reshape(-1, dim).astype(np.float64, copy=False)
+
+
+def _cut(cell: np.ndarray, ids: np.ndarray, x: np.ndarray, width: str) -> list[tuple[int, bytes, bytes]]:
     """Rows as blocks of one cell each."""
     order = np.argsort(cell, kind="stable")
     starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
@@ -176,19 +194,25 @@ def _cut(cell: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[int, by
     for begin, end in zip(starts, [*starts[1:], len(order)], strict=True):
         for s in range(begin, end, BLOCK_ROWS):
             part = order[s : min(s + BLOCK_ROWS, end)]
-            blocks.append((int(cell[part[0]]), ids[part].astype("<i8").tobytes(), x[part].astype("<f8").tobytes()))
+            blocks.append((int(cell[part[0]]), ids[part].astype("<i8").tobytes(), x[part].astype(width).tobytes()))
     return blocks
 
 
-def _visits_of(tree: Tree, visits: int, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """(leaf, ids, vectors) of the queries that visit a leaf, at most 1,024 together."""
-    for s in range(0, len(ids), 1024):
-        to: dict[int, list[int]] = {}
-        for i in range(s, min(s + 1024, len(ids))):
-            for _, leaf in zip(range(visits), tree.visit(x[i]), strict=False):
-                to.setdefault(leaf, []).append(i)
-        for leaf, i in to.items():
-            yield leaf, ids[i].astype("<i8").tobytes(), x[i].astype("<f8").tobytes()
+def _visits_of(tree: Tree, visits: int, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(leaf, ids) of the queries that visit a leaf."""
+    to: dict[int, list[int]] = {}
+    for i in range(len(ids)):
+        for _, leaf in zip(range(visits), tree.visit(x[i]), strict=False):
+            to.setdefault(leaf, []).append(i)
+    for leaf, i in to.items():
+        yield leaf, ids[i].astype("<i8").tobytes()
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (share, cell, queries, q): the vectors of some queries, without a cell, or who visits a cell, without vectors."""
+    columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["share", "cell", "queries", "q"])
 
 
 def _packed(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -198,17 +222,21 @@ def _packed(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def _gathered(table: pa.Table, ids: str, x: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, x = (b"".join(table.column(c).to_pylist()) for c in (ids, x))
-    return np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f8").reshape(-1, dim)
+def _gathered(table: pa.Table, dim: int, width: str) -> tuple[np.ndarray, np.ndarray]:
+    ids, x = (b"".join(table.column(c).to_pylist()) for c in ("ids", "x"))
+    return np.frombuffer(ids, "<i8"), _doubles(x, width, dim)
 
 
 def _tree(row: pa.Table) -> tuple[int, Tree]:
     """The number before a cell's children, and its tree."""
-    return (row.column("of")[0].as_py() + 1) << _BITS, pickle.loads(row.column("tree")[0].as_py())
+    return _first(row.column("of")[0].as_py()), pickle.loads(row.column("tree")[0].as_py())
+
+
+def _first(cell: int) -> int:
+    return (cell + 1) << _BITS
 
 
-def _trees_of(blocks: DataFrame, level: int, leaf_rows: int, tree_leaves: int, dim: int) -> DataFrame | None:
+def _trees_of(blocks: DataFrame, level: int, leaf_rows: int, tree_leaves: int, dim: int, width: str) -> DataFrame | None:
     """(cell, n, tree) of the large cells made at a level; None where there are none.
 
     A tree is fitted in one task on about FIT_ROWS rows of its cell, drawn by block and place.
@@ -225,7 +253,7 @@ def _trees_of(blocks: DataFrame, level: int, leaf_rows: int, tree_leaves: int, d
             cell, n, block = (batch.column(c).to_pylist() for c in range(3))
             picked = []
             for c, m, number, x in zip(cell, n, block, batch.column(3), strict=True):
-                x = np.frombuffer(x.as_py(), "<f8").reshape(-1, dim)
+                x = np.frombuffer(x.as_py(), width).reshape(-1, dim)
                 place = np.uint64(number * BLOCK_ROWS % 2**64) + np.arange(len(x), dtype=np.uint64)
                 picked.append((c, m, x[mix64(place) < np.uint64(min(FIT_ROWS / m, 1) * (2**64 - 2**12))].tobytes()))
             columns = zip(*picked, strict=True) if picked else ([], [], [])
@@ -233,7 +261,7 @@ def _trees_of(blocks: DataFrame, level: int, leaf_rows: int, tree_leaves: int, d
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["cell", "n", "x"])
 
     def fit(drawn: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(drawn.column("x").to_pylist()), "<f8").reshape(-1, dim)
+        x = _doubles(b"".join(drawn.column("x").to_pylist()), width, dim)
         cell, n = (drawn.column(c)[0].as_py() for c in ("cell", "n"))
         leaves = max(2, min(n // leaf_rows, tree_leaves))
         tree = Tree.fit(x, -(-len(x) // leaves)) if len(x) else Tree(leaves=1)
@@ -247,15 +275,15 @@ def _trees_of(blocks: DataFrame, level: int, leaf_rows: int, tree_leaves: int, d
     return None if trees.isEmpty() else trees
 
 
-def _deeper(blocks: DataFrame, trees: DataFrame, level: int, dim: int) -> DataFrame:
+def _deeper(blocks: DataFrame, trees: DataFrame, level: int, dim: int, width: str) -> DataFrame:
     """Blocks with the rows of cells that have a tree in its leaves; a large cell is many tasks."""
 
     def down(rows: pa.Table, tree: pa.Table) -> pa.Table:
         cut = []
         if rows.num_rows and tree.num_rows:
             first, mine = _tree(tree)
-            ids, x = _gathered(rows, "ids", "x", dim)
-            cut = _cut(first + mine.leaf_of(x), ids, x)
+            ids, x = _gathered(rows, dim, width)
+            cut = _cut(first + mine.leaf_of(x), ids, x, width)
         return pa.Table.from_batches([_packed(cut, ("cell", "ids", "x"))])
 
     parts = F.ceil(F.col("n") / PART_ROWS)
@@ -277,28 +305,77 @@ def _numbered(blocks: DataFrame) -> DataFrame:
     return settle(blocks.withColumn("block", F.monotonically_increasing_id()))
 
 
-def _route_deeper(routed: DataFrame, trees: DataFrame, visits: int, parts: int, dim: int) -> DataFrame:
+def _met(asked: DataFrame, things: DataFrame, parts: int, shares: int, wide: DataFrame | None = None) -> DataFrame:
+    """(task, kind, cell, ids, x): what a task needs to pass the things of its part by the queries of its share.
+
+    In: what `_asked` makes, and things (cell, spread, ids, x); the things of a cell lie in `spread`
+    parts, in more than one if the cell is among `wide` (cell, spread). A task gets the vectors of its queries, then who visits which cell, then the things by cell: it
+    holds the queries, and the things stream by. A query's vector is sent once to each part, whatever it visits.
+    """
+
+    def each(n) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    def of(kind: int, *columns: str) -> list[Column]:
+        task = (F.pmod(F.col("part"), F.lit(parts)) * shares + F.col("share")).cast("int")
+        return [task.alias("task"), F.lit(kind).alias("kind"), "cell", *(F.col(c).alias(n) for c, n in zip(columns, ("ids", "x"), strict=True))]
+
+    home = F.pmod(F.xxhash64("cell"), F.lit(parts))
+    vectors = asked.where("cell is null").withColumn("part", each(F.lit(parts).cast("long"))).select(*of(_VECTORS, "queries", "q"))
+    one = F.lit(1).cast("long")
+    visits = asked.where("cell is not null")
+    visits = visits.withColumn("spread", one) if wide is None else visits.join(wide, "cell", "left")
+    visits = visits.withColumn("nth", each(F.coalesce("spread", one))).withColumn("part", home + F.col("nth")).select(*of(_VISITS, "queries", "q"))
+    passing = things.withColumn("part", home + F.pmod(F.xxhash64("ids"), F.col("spread"))).withColumn("share", each(F.lit(shares).cast("long")))
+    dealt = vectors.unionByName(visits).unionByName(passing.select(*of(_THINGS, "ids", "x")))
+    return dealt.repartitionById(parts * shares, "task").sortWithinPartitions("task", "kind", "cell")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], dim: int, width: str) -> Iterator[tuple]:
+    """(task, cell, ids, x, queries, q) of what `_met` dealt: each thing of a cell, and the queries that visit the cell.
+
+    The queries of a cell are the same objects for all its things.
+    """
+    task = at = None
+    for batch in batches:
+        for t, kind, cell, ids, x in zip(*(batch.column(c) for c in range(5)), strict=True):
+            t, kind, cell = t.as_py(), kind.as_py(), cell.as_py()
+            if t != task:
+                task, at, asking, held, visits = t, None, None, [], {}
+            if kind == _VECTORS:
+                held.append((np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(x.as_py(), width).reshape(-1, dim)))
+            elif kind == _VISITS:
+                visits.setdefault(cell, []).append(np.frombuffer(ids.as_py(), "<i8"))
+            else:
+                if held:
+                    known, vectors = (np.concatenate(v) for v in zip(*held, strict=True))
+                    order = np.argsort(known)
+                    known, vectors, held = known[order], vectors[order], []
+                if cell != at:
+                    at, asking = cell, visits.pop(cell, None)
+                    if asking is not None:
+                        asking = np.concatenate(asking)
+                        q = vectors[np.searchsorted(known, asking)].astype(np.float64, copy=False)
+                if asking is not None:
+                    yield task, cell, ids.as_py(), x.as_py(), asking, q
+
+
+def _route_deeper(asked: DataFrame, trees: DataFrame, visits: int, parts: int, shares: int, dim: int, width: str) -> DataFrame:
     """Queries at cells that have a tree go on to the leaves they visit there."""
 
-    def visit(queries: pa.Table, tree: pa.Table) -> pa.Table:
-        rows = []
-        if queries.num_rows and tree.num_rows:
-            first, mine = _tree(tree)
-            ids, q = _gathered(queries, "queries", "q", dim)
-            rows = [(first + leaf, i, v) for leaf, i, v in _visits_of(mine, visits, ids, q)]
-        return pa.Table.from_batches([_packed(rows, ("cell", "queries", "q"))])
-
-    known = routed.join(trees.select("cell", F.lit(True).alias("split")), "cell", "left")
-    going = known.where("split").withColumn("part", F.pmod(F.xxhash64("queries"), F.lit(parts)))
-    present = going.select(F.col("cell").alias("of"), F.col("part").alias("of_part")).distinct()
-    copies = present.join(trees.select(F.col("cell").alias("c"), "tree"), F.col("of") == F.col("c")).drop("c")
-    gone = (
-        going.select("cell", "part", "queries", "q")
-        .groupBy("cell", "part")
-        .cogroup(copies.groupBy("of", "of_part"))
-        .applyInArrow(visit, "cell long, queries binary, q binary")
-    )
-    return known.where("split is null").select("cell", "queries", "q").union(gone)
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, cell, _, tree, queries, q in _meetings(batches, dim, width):
+            first, mine = _first(cell), pickle.loads(tree)
+            for s in range(0, len(queries), CHUNK):
+                some = slice(s, s + CHUNK)
+                yield _asked([(task % shares, first + leaf, i, None) for leaf, i in _visits_of(mine, visits, queries[some], q[some])])
+
+    split = trees.select("cell", F.lit(True).alias("split"))
+    known = asked.join(split, "cell", "left").select(*asked.columns, "split")
+    things = trees.select("cell", F.lit(1).cast("long").alias("spread"), F.lit(b"").alias("ids"), F.col("tree").alias("x"))
+    going = known.where("split or cell is null").drop("split")
+    gone = _met(going, things, parts, shares).mapInArrow(visit, asked.schema)
+    return known.where("split is null").drop("split").unionByName(gone)
 
 
 def _place_deeper(truth: DataFrame, trees: DataFrame) -> DataFrame:
@@ -338,8 +415,8 @@ def nearest(
     leaves grow with the rows while the driver holds the first tree alone. CALIBRATION queries
     are compared with all rows, and leaf visits are widened, level by level, until the leaves
     visited hold the share `recall` of their true neighbours; so many leaves are visited for
-    each query. Rows of one leaf and queries at one cell are dealt in parts of about
-    PART_ROWS. `report`, if given, gets leaves (of the first tree), visits (of each level),
+    each query. A task of the search holds the queries of a share, at most SHARE_BYTES, and
+    rows of its part of the leaves stream by; leaves of over PART_ROWS lie in several parts. `report`, if given, gets leaves (of the first tree), visits (of each level),
     levels and that recall.
 
     Rows and queries that are null, zero or hold null or non-finite components take no part,
@@ -357,6 +434,7 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes[0]
     rows, queries = (t.where(F.size("embedding") == dim) for t in (rows, queries))
+    width, query_width = _width(rows), _width(queries)
     queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sample = fit_sample(rows, "embedding", FIT_ROWS)
     leaves = max(1, min(n // leaf_rows, tree_leaves))
@@ -373,7 +451,7 @@ def nearest(
 
         def taken() -> pa.RecordBatch:
             ids, x = (np.concatenate(v) for v in zip(*held, strict=True))
-            return _packed(_cut(tree.leaf_of(x), ids, x), ("cell", "ids", "x"))
+            return _packed(_cut(tree.leaf_of(x), ids, x, width), ("cell", "ids", "x"))
 
         for batch in batches:
             if batch.num_rows:
@@ -388,24 +466,26 @@ def nearest(
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(k)
         for batch in batches:
-            for ids, x in _blocks(batch.column(0), batch.column(1), dim):
+            for ids, x in zip(batch.column(0), batch.column(1), strict=True):
                 if probes:
+                    ids, x = np.frombuffer(ids.as_py(), "<i8"), _doubles(x.as_py(), width, dim)
                     kept.add_block(ids, x, [q for q, _ in probes], np.stack([v for _, v in probes]))
         yield kept.taken()
 
     blocks = _numbered(rows.mapInArrow(index, "cell long, ids binary, x binary").withColumn("level", F.lit(1)))
     deeper: list[DataFrame] = []
     while len(deeper) + 1 < LEVELS:
-        trees = _trees_of(blocks, len(deeper) + 1, leaf_rows, tree_leaves, dim)
+        trees = _trees_of(blocks, len(deeper) + 1, leaf_rows, tree_leaves, dim, width)
         if trees is None:
             break
         deeper.append(trees)
-        blocks = _deeper(blocks, trees, len(deeper), dim)
+        blocks = _deeper(blocks, trees, len(deeper), dim, width)
 
     # true neighbours of the probes, k of each; where they lie tells how many leaves to visit
     truth = _top(blocks.select("ids", "x").mapInArrow(probe, schema), k)
-    truth = truth.join(rows.withColumnRenamed("vec_id", "v"), F.col("vec_id") == F.col("v"))
-    truth = truth.select("query_id", "embedding").collect()
+    truth = F.broadcast(truth).join(rows.withColumnRenamed("vec_id", "v"), F.col("vec_id") == F.col("v"))
+    # however often an id occurs, one vector of each true neighbour reaches the driver
+    truth = truth.groupBy("query_id", "rank").agg(F.min("embedding").alias("embedding")).collect()
     order = {q: {leaf: p for p, leaf in enumerate(tree.visit(v))} for q, v in probes}
     leaf = tree.leaf_of(np.array([t["embedding"] for t in truth], np.float64)).tolist() if truth else []
     places = [[order[t["query_id"]][at] + 1 for t, at in zip(truth, leaf, strict=True)]]
@@ -425,34 +505,53 @@ def nearest(
         got = sum(held) / len(held) if held else 1.0
         report.update(leaves=tree.leaves, visits=visits, levels=len(visits), recall=got)
 
+    asking = queries.count()
+    shares = max(1, -(-asking * (8 * dim + 16 * k + 512) // SHARE_BYTES))
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-n // PASS_ROWS))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries by the leaves they visit."""
+        """Queries by the leaves they visit; their vectors once, beside."""
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield _packed(list(_visits_of(tree, visits[0], ids, matrix(batch.column(1)))), ("cell", "queries", "q"))
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)) if batch.num_rows else None
+            share = mix64(ids) % np.uint64(shares)
+            for number in np.unique(share).tolist():
+                mine = np.flatnonzero(share == number)
+                for i in (mine[s : s + CHUNK] for s in range(0, len(mine), CHUNK)):
+                    vectors = (number, None, ids[i].astype("<i8").tobytes(), x[i].astype(query_width).tobytes())
+                    yield _asked([vectors, *((number, leaf, at, None) for leaf, at in _visits_of(tree, visits[0], ids[i], x[i]))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(k)
-        for batch in batches:
-            pairs = zip(_blocks(batch.column(0), batch.column(1), dim), _blocks(batch.column(2), batch.column(3), dim), strict=True)
-            for (ids, x), (queries, q) in pairs:
-                kept.add_block(ids, x, queries.tolist(), q)
-                if len(kept.found) > 20_000:
-                    yield kept.taken()
+        kept, last, held = _Kept(k), None, []
+
+        def compare() -> None:
+            ids, x = (b"".join(v) for v in zip(*held, strict=True))
+            ids, x = np.frombuffer(ids, "<i8"), _doubles(x, width, dim)
+            for s in range(0, len(last[2]), CHUNK):
+                kept.add_block(ids, x, last[2][s : s + CHUNK].tolist(), last[3][s : s + CHUNK])
+            held.clear()
+
+        for task, cell, ids, x, asked, q in _meetings(batches, dim, query_width):
+            # small blocks of a cell are compared together
+            if held and (last[:2] != (task, cell) or sum(len(i) for i, _ in held) >= 8 * BLOCK_ROWS):
+                compare()
+            if last and last[0] != task:
+                yield kept.taken()
+            last = task, cell, asked, q
+            held.append((ids, x))
+        if held:
+            compare()
         yield kept.taken()
 
-    routed = queries.mapInArrow(route, "cell long, queries binary, q binary")
-    parts = max(1, queries.count() // PART_ROWS) if deeper else 1
+    # the queries may lie in one file; routing them takes all cores
+    routed = settle(queries.repartition(parts, "vec_id").mapInArrow(route, "share long, cell long, queries binary, q binary"))
     for trees, wide in zip(deeper, visits[1:], strict=True):
-        routed = settle(_route_deeper(routed, trees, wide, parts, dim))
-
-    # leaves that stayed large, of vectors that are alike, are searched in parts
-    hot = blocks.groupBy("cell").agg(F.ceil(F.sum(F.length("ids") / 8) / PART_ROWS).alias("parts"))
-    hot = settle(hot.where("parts > 1"))
-    split = F.coalesce("parts", F.lit(1).cast("long"))
-    held = blocks.join(hot, "cell", "left").select("cell", F.pmod(F.xxhash64("block"), split).alias("part"), "ids", "x")
-    asked = routed.join(hot, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), split - 1)))
-    met = held.join(asked, ["cell", "part"]).select("ids", "x", "queries", "q")
+        routed = settle(_route_deeper(routed, trees, wide, parts, shares, dim, query_width))
+
+    # leaves that stayed large, of vectors that are alike, lie in several parts
+    hot = blocks.groupBy("cell").agg(F.least(F.ceil(F.sum(F.length("ids") / 8) / PART_ROWS), F.lit(parts).cast("long")).alias("spread"))
+    hot = settle(hot.where("spread > 1"))
+    things = blocks.join(hot, "cell", "left").withColumn("spread", F.coalesce("spread", F.lit(1).cast("long")))
+    met = _met(routed, things.select("cell", "spread", "ids", "x"), parts, shares, hot)
     return _top(met.mapInArrow(search, schema), k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -470,11 +569,6 @@ def _widened(places: list[list[int]], recall: float, levels: int) -> list[int]:
     return visits
 
 
-def _blocks(ids: pa.Array, x: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i, v in zip(ids, x, strict=True):
-        yield np.frombuffer(i.as_py(), "<i8"), np.frombuffer(v.as_py(), "<f8").reshape(-1, dim)
-
-
 def _top(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -155,3 +155,50 @@ def test_best_bin_first_visits_every_leaf_once():
     tree = ann.Tree.fit(x, 40)
     order = list(tree.visit(x[0]))
     assert sorted(order) == list(range(tree.leaves)) and order[0] == tree.leaf_of(x[:1])[0]
+
+
+@pytest.mark.parametrize("share_bytes", [1 << 27, 20_000])
+def test_routing_sends_a_vector_once_to_a_part(spark, monkeypatch, share_bytes):
+    # wide apart: most leaves are visited by every query
+    rng = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(2_400, 24)).astype(np.float32))]
+    queries = rows[::4]
+    sizes, settle = [], ann.settle
+
+    def settled(df):
+        out = settle(df)
+        if "queries" in out.columns:
+            sizes.append(sum(len(r["queries"]) + len(r["q"] or b"") for r in out.select("queries", "q").collect()))
+        return out
+
+    monkeypatch.setattr(ann, "settle", settled)
+    monkeypatch.setattr(ann, "SHARE_BYTES", share_bytes)
+    report = {}
+    got = ann.nearest(table(spark, rows), table(spark, queries), leaf_rows=32, report=report).collect()
+    visits = report["visits"][0]
+    assert report["leaves"] > 60 and visits > report["leaves"] // 3
+    # ids of visits and one vector each; not a vector a visit
+    assert sizes and max(sizes) <= len(queries) * (8 * visits + 8 + 4 * 24)
+    truth = brute(rows, queries, 10)
+    hits = sum(r["score"] <= truth[r["query_id"]][-1][1] for r in got)
+    assert len(got) == 10 * len(queries) and hits >= 0.9 * len(got)
+    assert all(r["score"] == np.sqrt(((np.float64(rows[r["vec_id"]][1]) - rows[r["query_id"]][1]) ** 2).sum()) for r in got[::50])
+
+
+def test_calibration_takes_one_vector_of_a_true_neighbour(spark):
+    # one id many times: its copies do not all reach the driver
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(7, [7.0, 1.0])] * 500
+    seen, frame = [], type(spark.range(0))
+    collect = frame.collect
+
+    def counted(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    try:
+        frame.collect = counted
+        ann.nearest(table(spark, rows), table(spark, rows[:20])).count()
+    finally:
+        frame.collect = collect
+    assert max(seen) <= 20 * 10
