@@ -311,6 +311,30 @@ def test_a_stream_moves_bodies_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_a_long_batch_of_single_captures_moves_no_body(spark, tmp_path):
+    captures = spark.range(4_000).select(
+        F.concat(F.lit("https://shop.example/products/"), "id").alias("url"), F.col("id").alias("page_id"),
+        F.concat(F.lit("body "), "id").alias("html"),
+    )
+    odd = [("u", 1, "old"), ("u", 2, "new"), ("u", 2, "again"), ("v", None, "alone"), ("v", None, None), ("w", 3, "passed"), (None, 4, "x")]
+    captures.unionByName(spark.createDataFrame(odd, "url string, page_id long, html string")).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    fresh = pages.groupBy("url").agg(F.max("page_id").alias("page_id")).where("url is not null and url <> 'w'")
+    fresh.write.parquet(f"{tmp_path}/fresh")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # the fresh addresses are too many to be sent to every task
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+        found = ingest.bodies_of(spark.read.parquet(f"{tmp_path}/fresh"), pages)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r["url"], r["html"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert [r for r in rows if len(r[0]) == 1] == [("u", "again"), ("u", "new"), ("v", "alone")]
+    assert len(rows) == 4_003
+
+
 def test_rosters_are_ordered_without_a_comparator(spark):
     products = spark.createDataFrame([(1, "u")], "id long, url string").selectExpr(
         "id", "url", "'n' name", "'b' brand_name", "'d' description", "'i' image_url", "1D rating_value", "1L rating_count",
