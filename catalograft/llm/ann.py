@@ -37,8 +37,9 @@ RECALL = 0.96
 BLOCK_ROWS = 2_048
 #: Rows of one cell that a task gathers.
 PART_ROWS = 65_536
-#: Queries whose visits are found together.
+#: Queries whose visits are found together, and that are compared with rows of a leaf together.
 CHUNK = 1_024
+COMPARED = 256
 #: Bytes of the queries, and of the neighbours kept of each, that a task holds.
 SHARE_BYTES = 1 << 27
 #: Rows that pass one task of the search, where that is more than two tasks a core.
@@ -526,8 +527,8 @@ def nearest(
         def compare() -> None:
             ids, x = (b"".join(v) for v in zip(*held, strict=True))
             ids, x = np.frombuffer(ids, "<i8"), _doubles(x, width, dim)
-            for s in range(0, len(last[2]), CHUNK):
-                kept.add_block(ids, x, last[2][s : s + CHUNK].tolist(), last[3][s : s + CHUNK])
+            for s in range(0, len(last[2]), COMPARED):
+                kept.add_block(ids, x, last[2][s : s + COMPARED].tolist(), last[3][s : s + COMPARED])
             held.clear()
 
         for task, cell, ids, x, asked, q in _meetings(batches, dim, query_width):
